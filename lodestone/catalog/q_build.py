@@ -135,10 +135,10 @@ def _(t):
 
 
 @query("term_name_dictionary", f"""SELECT norm, ui FROM (SELECT norm, ui, row_number() OVER (PARTITION BY norm ORDER BY prio, ui) AS rn FROM (
-SELECT {norm_sql("label")} AS norm, id AS ui, 0 AS prio FROM v_gene WHERE id LIKE '%1' UNION ALL SELECT {norm_sql("name")}, 'P' || paper, 1 FROM v_gmen_raw
+SELECT {norm_sql("label")} AS norm, id AS ui, 0 AS prio FROM v_gene WHERE name LIKE 'red%' UNION ALL SELECT {norm_sql("name")}, 'P' || paper, 1 FROM v_gmen_raw
 UNION ALL SELECT {norm_sql("name")}, id, 1 FROM v_gene) u WHERE norm <> '') v WHERE rn = 1""")
 def _(t):
-    curated = t("v_gene").where("id like '%1'").select(F.col("label").alias("term"), F.col("id").alias("ui"))
+    curated = t("v_gene").where("name like 'red%'").select(F.col("label").alias("term"), F.col("id").alias("ui"))
     found = t("v_gmen_raw").select("name", F.concat(F.lit("P"), "paper").alias("ui")).unionByName(t("v_gene").select("name", F.col("id").alias("ui")))
     return R.term_name_dictionary(curated, found)
 
@@ -206,7 +206,7 @@ def _(t):
 @query("supported_items", """SELECT id FROM (SELECT gene AS id FROM (SELECT paper, 'G:' || unnest(string_split(ids, ';')) AS gene FROM v_gmen_raw) u
 GROUP BY gene HAVING count(DISTINCT paper) >= 3) v WHERE id IN (SELECT id FROM v_gene) UNION SELECT gene FROM v_gd WHERE rel = 'causes'""")
 def _(t):
-    men = t("v_gmen_raw").select("paper", F.concat(F.lit("G:"), F.explode(F.split("ids", ";"))).alias("item"))
+    men = t("v_gmen_raw").select("paper", F.explode(F.split("ids", ";")).alias("i")).select("paper", F.concat(F.lit("G:"), "i").alias("item"))
     return G.supported_items(men, t("v_gene"), t("v_gd").where("rel = 'causes'").select(F.col("gene").alias("id")))
 
 

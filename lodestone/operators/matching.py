@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.common import min_row, top_n, union_all
@@ -92,10 +92,9 @@ def glossary_spans(texts: DataFrame, glossary: DataFrame) -> DataFrame:
     joined with the glossary, and the hits of one text are read once from left to right.
     """
     terms = glossary.select(F.lower("term").alias("term"), "canonical").groupBy("term").agg(F.min("canonical").alias("canonical"))
-    lengths = name_lengths(terms, "term")
+    counts = terms.select(F.regexp_count("term", F.lit(r"[\w-]+")).alias("n")).distinct().collect()
+    lengths = sorted(r.n for r in counts if r.n)
     pieces = texts.select("doc_id", "text", F.posexplode(F.regexp_extract_all("text", F.lit(r"[\w-]+|[^\w-]+"), 0)).alias("i", "piece"))
-    from pyspark.sql import Window
-
     here = Window.partitionBy("doc_id").orderBy("i")
     placed = pieces.withColumn("start", F.coalesce(F.sum(F.length("piece")).over(here.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     longest = max(lengths) if lengths else 1
@@ -150,3 +149,17 @@ def symbol_fallback(unmatched: DataFrame, symbols: DataFrame, parents: DataFrame
     general = usable.join(covered.distinct(), ["symbol", "entity"], "left_anti")
     words = unmatched.select("core", F.explode(F.array_distinct(F.regexp_extract_all("title", F.lit(r"\w+"), 0))).alias("symbol"))
     return words.join(general, "symbol").groupBy("core", "entity").agg(F.min("symbol").alias("symbol")).withColumn("confidence", F.lit(0.6))
+
+
+def trial_edges(links: DataFrame, trials: DataFrame, references: DataFrame, papers: DataFrame) -> DataFrame:
+    """Study to entity with the way it was matched and its status, and study to every cited paper of the corpus, for
+    studies with a link at least. `links` as from `match_conditions`, `references(trial, paper)`."""
+    linked = trials.join(links.select(F.col("study").alias("id")).distinct(), "id", "left_semi")
+    studies = links.join(linked.select(F.col("id").alias("study"), "status", "start"), "study").select(
+        F.col("study").alias("src"), F.col("entity").alias("dst"), F.lit("studies").alias("rel"), "confidence",
+        F.col("start").alias("date"), F.col("how").alias("matched_by"), "status")
+    cites = references.join(linked.select(F.col("id").alias("trial"), "status", "start"), "trial").join(
+        papers.select(F.col("id").alias("paper")), "paper", "left_semi").select(
+        F.col("trial").alias("src"), F.col("paper").alias("dst"), F.lit("cites").alias("rel"), F.lit(0.9).alias("confidence"),
+        F.col("start").alias("date"), F.lit("").alias("matched_by"), "status")
+    return studies.unionByName(cites).distinct()

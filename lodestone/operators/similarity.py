@@ -95,15 +95,18 @@ def _share(min_score: float) -> Column:
     return F.when(F.col("kind") == "jaccard", min_score).otherwise(min_score * min_score) - SLACK
 
 
-def _rare_part(bags: DataFrame, min_score: float) -> DataFrame:
+def item_grades(bags: DataFrame) -> DataFrame:
+    return bags.groupBy("kind", "item").agg(F.floor(F.log2(F.count("*").cast("double"))).cast("int").alias("grade"))
+
+
+def _rare_part(bags: DataFrame, min_score: float, grades: DataFrame | None = None) -> DataFrame:
     """Rows of `bags(kind, entity, item, w)` left after dropping the commonest items of an entity while their mass
     (sum of squared weights) stays below the share that a pair needs.
 
     Items are graded by the power of two of their frequency, the same grade for every entity, so an entity needs a
     running sum over at most 64 grades and never over its items.
     """
-    grade = bags.groupBy("kind", "item").agg(F.floor(F.log2(F.count("*").cast("double"))).cast("int").alias("grade"))
-    graded = bags.where("w > 0").join(grade, ["kind", "item"])
+    graded = bags.where("w > 0").join(item_grades(bags) if grades is None else grades, ["kind", "item"])
     mass = graded.groupBy("kind", "entity", "grade").agg(F.sum(F.col("w") * F.col("w")).alias("m"), F.count("*").alias("c"))
     whole = Window.partitionBy("kind", "entity")
     kept = mass.select(
@@ -113,21 +116,28 @@ def _rare_part(bags: DataFrame, min_score: float) -> DataFrame:
     return graded.join(kept, ["kind", "entity", "grade"]).select("kind", "entity", "item", "n")
 
 
-def similar_candidates(bags: DataFrame, min_score: float) -> DataFrame:
-    """`(a, b)` with a < b: a superset of the pairs that reach `min_score` in one kind; no such pair is missed.
+def similar_candidates(bags: DataFrame, min_score: float, right: DataFrame | None = None) -> DataFrame:
+    """`(a, b)` with a < b: a superset of the pairs that reach `min_score` in one kind; no such pair is missed. With
+    `right`, pairs of an entity of `bags` with one of `right` instead.
 
-    `bags(kind, entity, item, w)`, `w` depending on kind and item only. For `cosine` and `ochiai` the dropped part of
+    `bags(kind, entity, item, w)`. For `cosine` and `ochiai` the dropped part of
     one side is shorter than `min_score` times its norm, for `jaccard` smaller than `min_score` times its size: a pair
     that shares nothing in the kept parts stays below the score.
     """
     if not 0 < min_score <= 1:
         raise ValueError("candidates need a positive score")
-    rare = _rare_part(bags, min_score)
-    left = rare.select("kind", "item", F.col("entity").alias("a"), F.col("n").alias("na"))
-    right = rare.select("kind", "item", F.col("entity").alias("b"), F.col("n").alias("nb"))
+    if right is None:
+        rare = _rare_part(bags, min_score)
+        sides, order = (rare, rare), F.col("a") < F.col("b")
+    else:
+        grades = item_grades(bags.unionByName(right))
+        sides = tuple(_rare_part(x, min_score, grades) for x in (bags, right))
+        order = F.lit(True)
+    left = sides[0].select("kind", "item", F.col("entity").alias("a"), F.col("n").alias("na"))
+    other = sides[1].select("kind", "item", F.col("entity").alias("b"), F.col("n").alias("nb"))
     fits = F.least("na", "nb") >= F.greatest("na", "nb") * _share(min_score)
     return (
-        left.join(right, ["kind", "item"]).where("a < b").where((F.col("kind") == "cosine") | fits)
+        left.join(other, ["kind", "item"]).where(order).where((F.col("kind") == "cosine") | fits)
         .select("a", "b").distinct()
     )
 
@@ -146,10 +156,10 @@ def score_pairs(pairs: DataFrame, bags: DataFrame) -> DataFrame:
     small = F.when(F.col("na") <= F.col("nb"), F.col("a")).otherwise(F.col("b"))
     large = F.when(F.col("na") <= F.col("nb"), F.col("b")).otherwise(F.col("a"))
     rows = sized.withColumn("small", small).withColumn("entity", large).join(
-        bags.select("kind", F.col("entity").alias("small"), "item"), ["kind", "small"])
+        bags.select("kind", F.col("entity").alias("small"), "item", F.col("w").alias("ws")), ["kind", "small"])
     over = (
         rows.join(bags, ["kind", "entity", "item"]).groupBy("a", "b", "kind", "ma", "na", "mb", "nb")
-        .agg(F.sum(F.col("w") * F.col("w")).alias("dot"), F.count("*").alias("common"))
+        .agg(F.sum(F.col("ws") * F.col("w")).alias("dot"), F.count("*").alias("common"))
     )
     score = (
         F.when(F.col("kind") == "cosine", F.col("dot") / F.sqrt(F.col("ma") * F.col("mb")))
