@@ -15,6 +15,11 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, use) -> Column:
+    """`use(value)` with `value` computed once per row; an expression named inside a lambda would run per element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def norm_text(c) -> Column:
     """Lower case, possessive before a blank removed, every run of other characters than a-z and 0-9 one blank."""
     low = F.lower(F.coalesce(_c(c), F.lit("")))
@@ -84,11 +89,16 @@ def sentences(c) -> Column:
 def best_snippet(body, question, max_chars: int = 320, short: int = 160) -> Column:
     """The sentence that shares most tokens with the question (the first on a tie), with the next one when it is
     short, cut at a blank near `max_chars`."""
-    sents, q = sentences(body), query_tokens(question)
-    ranked = F.transform(sents, lambda s, i: F.struct(
-        F.size(F.array_intersect(q, query_tokens(s))).alias("n"), (-i).alias("at")))
-    at = -F.array_max(ranked)["at"]
-    first, after = F.get(sents, at), F.get(sents, at + 1)
+    def pick(sents: Column, q: Column) -> Column:
+        ranked = F.transform(sents, lambda s, i: F.struct(
+            F.size(F.array_intersect(q, query_tokens(s))).alias("n"), (-i).alias("at")))
+        return let(-F.array_max(ranked)["at"], lambda at: F.struct(F.get(sents, at).alias("first"), F.get(sents, at + 1).alias("after")))
+
+    chosen = let(sentences(body), lambda sents: let(query_tokens(question), lambda q: pick(sents, q)))
+    return let(chosen, lambda c: _cut_snippet(c["first"], c["after"], max_chars, short))
+
+
+def _cut_snippet(first: Column, after: Column, max_chars: int, short: int) -> Column:
     snip = F.when((F.length(first) < short) & after.isNotNull(), F.concat(first, F.lit(" "), after)).otherwise(first)
     head = F.substring(snip, 1, max_chars)
     cut = F.when(head.contains(" "), F.regexp_replace(head, "(?s) [^ ]*$", "")).otherwise(head)
@@ -126,7 +136,10 @@ def usable_terms(names) -> Column:
 
 def word_ngrams(tokens: Column, n: int) -> Column:
     """Word n-grams joined with a blank."""
-    last = F.size(tokens) - (n - 1)
-    return F.when(last >= 1, F.transform(
-        F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, n), " "))
-    ).otherwise(F.array().cast("array<string>"))
+    def grams(t: Column) -> Column:
+        last = F.size(t) - (n - 1)
+        return F.when(last >= 1, F.transform(
+            F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(t, i, n), " "))
+        ).otherwise(F.array().cast("array<string>"))
+
+    return tokens if n == 1 else let(tokens, grams)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.common import min_row, top_n, union_all
 from lodestone.functions import rules as R
 from lodestone.functions import values as V
-from lodestone.functions.text import norm_text, word_ngrams
+from lodestone.functions.text import let, norm_text, word_ngrams
 
 
 def name_lengths(names: DataFrame, column: str = "norm") -> list[int]:
@@ -19,8 +19,7 @@ def name_lengths(names: DataFrame, column: str = "norm") -> list[int]:
 
 def gram_rows(texts: DataFrame, lengths: list[int], keys: list[str]) -> DataFrame:
     """One row per distinct word n-gram of `norm`, for the given lengths."""
-    tokens = F.split("norm", " ")
-    grams = F.array_distinct(F.flatten(F.array(*[word_ngrams(tokens, n) for n in lengths])))
+    grams = let(F.split("norm", " "), lambda t: F.array_distinct(F.flatten(F.array(*[word_ngrams(t, n) for n in lengths]))))
     return texts.select(*keys, F.explode(grams).alias("phrase"))
 
 
