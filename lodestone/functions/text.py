@@ -66,21 +66,35 @@ LIST_ITEM = r"^\s*(?:[-*•–]|\d{1,2}[.)])\s+"
 SENTENCE_END = r"""([.!?]["')\]]*(?:\s*\[\d{1,2}\])*)(?=\s|$)"""
 
 
-def split_units(c) -> Column:
-    """Array of `(line, is_list, unit)`: lines, those that are no list items cut further at sentence ends.
+def answer_pieces(c) -> Column:
+    """Array of `(line, is_list, sep, unit)`: lines, those that are no list items cut further at sentence ends.
 
-    A sentence end takes closing marks and citation markers that follow with it.
+    A sentence end takes closing marks and citation markers that follow with it. Joining `sep` and `unit` of all pieces
+    gives the text back; an empty line is a piece with an empty unit.
     """
     def cut_line(line: Column, i: Column) -> Column:
         is_list = line.rlike(LIST_ITEM)
-        pieces = F.when(is_list, F.array(line)).otherwise(
-            F.transform(F.split(F.regexp_replace(line, SENTENCE_END, "$1" + MARK), MARK), lambda p: F.trim(p)))
-        return F.transform(F.filter(pieces, lambda p: F.trim(p) != ""), lambda p: F.struct(
-            (i + 1).cast("int").alias("line"), is_list.alias("is_list"), p.alias("unit")))
+        pieces = F.when(is_list, F.array(line)).otherwise(F.transform(
+            F.split(F.regexp_replace(line, SENTENCE_END, "$1" + MARK), MARK), lambda p: F.trim(p)))
+        full = F.filter(pieces, lambda p: F.trim(p) != "")
+        full = F.when(F.size(full) == 0, F.array(F.lit(""))).otherwise(full)
+        start = F.when(i == 0, "").otherwise("\n")
+        return F.transform(full, lambda p, j: F.struct((i + 1).cast("int").alias("line"), is_list.alias("is_list"),
+                                                       F.when(j == 0, start).otherwise(" ").alias("sep"), p.alias("unit")))
 
     return F.flatten(F.transform(F.split(_c(c), "\n"), cut_line))
 
 
+def split_units(c) -> Column:
+    """Array of `(line, is_list, unit)` without empty lines."""
+    return F.transform(F.filter(answer_pieces(c), lambda p: p["unit"] != ""),
+                       lambda p: F.struct(p["line"].alias("line"), p["is_list"].alias("is_list"), p["unit"].alias("unit")))
+
+
+def word_count(c) -> Column:
+    return F.size(F.filter(F.split(F.trim(_c(c)), r"\s+"), lambda w: w != ""))
+
+
 def sentences(c) -> Column:
     """Sentences of a body: split after an end mark and blanks where a capital or a bracket follows."""
     return F.filter(F.transform(F.split(_c(c), r"(?<=[.!?])\s+(?=[A-Z(])"), lambda s: F.trim(s)), lambda s: s != "")
