@@ -14,7 +14,7 @@ from lodestone.operators import retrieval as H
 r6 = lambda df, *names: df.select(*[F.round(c, 6).alias(c) if c in names else c for c in df.columns])
 
 TOK = "regexp_extract_all(lower(text), '[a-z0-9]+')"
-view("x_post", f"SELECT doc_id, term, count(*) AS tf, min(dl) AS dl FROM (SELECT doc_id, unnest({TOK}) AS term, len({TOK}) AS dl FROM documents) u GROUP BY doc_id, term")
+view("x_post", f"SELECT doc_id, term, count(*) AS tf, min(dl) AS dl FROM (SELECT doc_id, unnest(k) AS term, len(k) AS dl FROM (SELECT doc_id, {TOK} AS k FROM documents) d) u GROUP BY doc_id, term")
 view("x_raw_idf", "SELECT term, count(*) AS df, ln(((SELECT count(*) FROM documents) - count(*) + 0.5) / (count(*) + 0.5)) AS raw FROM x_post GROUP BY term")
 view("x_tw", "SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM x_raw_idf) ELSE raw END AS idf FROM x_raw_idf")
 view("x_qt", f"SELECT item_id AS query_id, term, count(*) AS qtf FROM (SELECT item_id, unnest({TOK}) AS term FROM benchmark) u GROUP BY item_id, term")

@@ -74,8 +74,8 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 50, block: int =
     """
     nq = max(1, math.ceil(queries.count() / block))
     nv = max(1, math.ceil(vectors.count() / block))
-    q = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(nq))).withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(nv - 1))).cast("long"))
-    v = vectors.withColumn("vb", F.pmod(F.xxhash64("doc_id"), F.lit(nv))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).cast("long"))
+    q = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(nq))).withColumn("vb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nv - 1).cast("long"))))
+    v = vectors.withColumn("vb", F.pmod(F.xxhash64("doc_id"), F.lit(nv))).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long"))))
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
@@ -108,8 +108,8 @@ def dot(a, b) -> Column:
 
 def centroid_similarity(queries: DataFrame, vectors: DataFrame) -> DataFrame:
     """`(query_id, similarity)` to the normalised mean of the corpus."""
-    middle = centroid(vectors).scalar()
-    return queries.select("query_id", dot("vec", middle).alias("similarity"))
+    placed = queries.select("query_id", "vec").withColumn("middle", centroid(vectors).scalar())
+    return placed.select("query_id", dot("vec", "middle").alias("similarity"))
 
 
 def prefix_rows(texts: DataFrame, lengths: list[int], min_len: int = 6) -> DataFrame:
