@@ -126,11 +126,11 @@ view("x_och", """SELECT a, b, co / sqrt(CAST(na.n * nb.n AS DOUBLE)) AS score, c
   SELECT p.entity AS a, q.entity AS b, count(*) AS co FROM x_papers p JOIN x_papers q ON p.item = q.item AND p.entity < q.entity GROUP BY 1, 2) o
   JOIN (SELECT entity, count(*) AS n FROM x_papers GROUP BY entity) na ON na.entity = a
   JOIN (SELECT entity, count(*) AS n FROM x_papers GROUP BY entity) nb ON nb.entity = b""")
-view("x_scores", """SELECT a, b, s_term, s_path, s_lit, 0.5 * s_term + 0.3 * s_path + 0.2 * s_lit AS score FROM (
+view("x_scores", """SELECT a, b, s_term, s_path, s_lit, round(0.5 * s_term + 0.3 * s_path + 0.2 * s_lit, 9) AS score FROM (
   SELECT a, b, coalesce(max(t), 0.0) AS s_term, coalesce(max(p), 0.0) AS s_path, coalesce(max(l), 0.0) AS s_lit FROM (
     SELECT a, b, score AS t, NULL AS p, NULL AS l FROM x_cos UNION ALL SELECT a, b, NULL, score, NULL FROM x_jac
     UNION ALL SELECT a, b, NULL, NULL, score FROM x_och) u GROUP BY a, b) v
-WHERE 0.5 * s_term + 0.3 * s_path + 0.2 * s_lit >= 0.75 * 0.15
+WHERE round(0.5 * s_term + 0.3 * s_path + 0.2 * s_lit, 9) >= 0.75 * 0.15
   AND NOT EXISTS (SELECT 1 FROM x_clo c WHERE (c.id = a AND c.ancestor = b) OR (c.id = b AND c.ancestor = a))""")
 view("x_both", """SELECT s.*, gx.grp AS gx, gy.grp AS gy FROM (
   SELECT a AS x, b AS y, s_term, s_path, s_lit, score FROM x_scores UNION ALL SELECT b, a, s_term, s_path, s_lit, score FROM x_scores) s

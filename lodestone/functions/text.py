@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lodestone.functions import values as V
 
@@ -27,7 +28,7 @@ def norm_text(c) -> Column:
     return F.trim(F.regexp_replace(low, "[^a-z0-9]+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def ascii_fold(s: pd.Series) -> pd.Series:
     """Diacritics and every other non-ASCII character removed (no built-in function decomposes characters)."""
     return s.fillna("").str.normalize("NFKD").str.encode("ascii", "ignore").str.decode("ascii")

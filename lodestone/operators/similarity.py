@@ -212,7 +212,8 @@ def weigh(pairs: DataFrame, bags: DataFrame, weights: tuple[float, float, float]
     out = score_pairs(pairs, bags).groupBy("a", "b").agg(*[
         F.coalesce(F.max(F.when(F.col("kind") == k, F.col("score"))), F.lit(0.0)).alias(n) for k, n in names.items()])
     wt, wp, wl = weights
-    return out.withColumn("score", wt * F.col("s_term") + wp * F.col("s_path") + wl * F.col("s_lit"))
+    # sums depend on the order of rows in their last digits; rounded, equal profiles tie whatever the partitioning
+    return out.withColumn("score", F.round(wt * F.col("s_term") + wp * F.col("s_path") + wl * F.col("s_lit"), 9))
 
 
 def top_pairs(scores: DataFrame, groups: DataFrame, k: int = 10, min_score: float = 0.15, cross_k: int = 3,

@@ -11,15 +11,8 @@ from pyspark.sql import types as T
 from lodestone.common import top_n, union_all
 from lodestone.functions import text as X
 
-S, A = T.StringType(), T.ArrayType
-
-
-def struct(spec: str) -> T.StructType:
-    return T._parse_datatype_string(spec)
-
-
 # --- ontologies ---------------------------------------------------------------------------------------------------------------
-OBOGRAPH = struct(
+OBOGRAPH = (
     "graphs array<struct<nodes:array<struct<id:string,lbl:string,type:string,meta:struct<deprecated:boolean,definition:struct<val:string>,"
     "synonyms:array<struct<pred:string,val:string>>,xrefs:array<struct<val:string>>,basicPropertyValues:array<struct<pred:string,val:string>>>>>,"
     "edges:array<struct<sub:string,pred:string,obj:string>>>>")
@@ -53,7 +46,7 @@ def read_obograph(spark: SparkSession, path: str, prefix: str, classes_only: boo
 # --- tables -------------------------------------------------------------------------------------------------------------------
 def read_annotation_tsv(spark: SparkSession, path: str, columns: list[str], header: bool = True, comment: str | None = "#") -> DataFrame:
     """Tab-separated rows, every column text, an empty field an empty text."""
-    schema = T.StructType([T.StructField(c, S) for c in columns])
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     reader = spark.read.schema(schema).option("sep", "\t").option("header", header).option("enforceSchema", True).option("quote", "")
     if comment:
         reader = reader.option("comment", comment)
@@ -81,7 +74,7 @@ def load_verified_seed(spark: SparkSession, path: str, members: DataFrame) -> tu
 
 # --- XML ----------------------------------------------------------------------------------------------------------------------
 NAMED = "struct<Name:string>"
-DISORDER = struct(
+DISORDER = (
     f"OrphaCode string, Name string, DisorderGeneAssociationList struct<DisorderGeneAssociation:array<struct<SourceOfValidation:string,Gene:struct<Symbol:string,Name:string>,"
     f"DisorderGeneAssociationType:{NAMED},DisorderGeneAssociationStatus:{NAMED}>>>, PrevalenceList struct<Prevalence:array<struct<PrevalenceType:{NAMED},PrevalenceQualification:{NAMED},"
     f"PrevalenceClass:{NAMED},PrevalenceGeographic:{NAMED},PrevalenceValidationStatus:{NAMED},ValMoy:string,Source:string>>>, AverageAgeOfOnsetList struct<AverageAgeOfOnset:array<{NAMED}>>,"
@@ -105,7 +98,7 @@ def read_disorder_xml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
 
 
 TEXTED = "struct<_VALUE:string,_Label:string,_NlmCategory:string>"
-ARTICLE = struct(
+ARTICLE = (
     f"MedlineCitation struct<PMID:string,Article:struct<Journal:struct<Title:string,JournalIssue:struct<PubDate:struct<Year:string,MedlineDate:string>>>,ArticleTitle:string,"
     f"Abstract:struct<AbstractText:array<{TEXTED}>>,AuthorList:struct<Author:array<struct<LastName:string,CollectiveName:string,ForeName:string,Initials:string,"
     f"AffiliationInfo:array<struct<Affiliation:string>>,Identifier:array<struct<_VALUE:string,_Source:string>>>>>,PublicationTypeList:struct<PublicationType:array<string>>>,"
@@ -137,7 +130,7 @@ def read_article_xml(spark: SparkSession, path: str) -> DataFrame:
 
 
 # --- JSON lines ---------------------------------------------------------------------------------------------------------------
-ABSTRACT = struct("pmid string, title string, abstract string, year int, journal string, doi string")
+ABSTRACT = ("pmid string, title string, abstract string, year int, journal string, doi string")
 
 
 def load_abstracts(spark: SparkSession, root: str, slices: list[str]) -> DataFrame:
@@ -157,7 +150,7 @@ def load_abstracts(spark: SparkSession, root: str, slices: list[str]) -> DataFra
     return one.select("pmid", F.col("r.title").alias("title"), text.alias("text"), F.col("r.year").alias("year"), "groups", (F.col("r.abstract") != "").alias("has_abstract"))
 
 
-ANNOTATED = struct("id string, passages array<struct<annotations:array<struct<text:string,infons:struct<type:string,identifier:string,name:string>>>>>")
+ANNOTATED = ("id string, passages array<struct<annotations:array<struct<text:string,infons:struct<type:string,identifier:string,name:string>>>>>")
 
 
 def load_entity_annotations(spark: SparkSession, path: str, kinds: list[str], max_texts: int = 5) -> DataFrame:
@@ -174,7 +167,7 @@ def load_entity_annotations(spark: SparkSession, path: str, kinds: list[str], ma
     return count.join(texts, ["pmid", "type", "id"])
 
 
-STUDY = struct(
+STUDY = (
     "protocolSection struct<identificationModule:struct<nctId:string,briefTitle:string,officialTitle:string>,statusModule:struct<overallStatus:string,whyStopped:string,"
     "startDateStruct:struct<date:string>,completionDateStruct:struct<date:string>,lastUpdatePostDateStruct:struct<date:string>>,designModule:struct<studyType:string,phases:array<string>,"
     "patientRegistry:boolean,designInfo:struct<observationalModel:string>,enrollmentInfo:struct<count:int>>,conditionsModule:struct<conditions:array<string>,keywords:array<string>>,"
@@ -206,7 +199,7 @@ def flatten_trials(raw: DataFrame) -> DataFrame:
                                    F.array_sort(F.collect_set("query")).alias("queries")).select("nct", "f.*", "groups", "queries")
 
 
-PROJECT = struct("project_num string, core_project_num string, fiscal_year int, project_title string, abstract_text string, award_amount double, terms string, project_start_date string,"
+PROJECT = ("project_num string, core_project_num string, fiscal_year int, project_title string, abstract_text string, award_amount double, terms string, project_start_date string,"
                  "project_end_date string, is_active boolean, organization struct<org_name:string,org_city:string>, query string")
 
 
