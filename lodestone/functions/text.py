@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -31,7 +33,10 @@ def norm_text(c) -> Column:
 @F.pandas_udf(StringType())
 def ascii_fold(s: pd.Series) -> pd.Series:
     """Diacritics and every other non-ASCII character removed (no built-in function decomposes characters)."""
-    return s.fillna("").str.normalize("NFKD").str.encode("ascii", "ignore").str.decode("ascii")
+    def fold(v: str) -> str:
+        return v if v.isascii() else unicodedata.normalize("NFKD", v).encode("ascii", "ignore").decode("ascii")
+
+    return s.fillna("").map(fold)
 
 
 def curie(c) -> Column:

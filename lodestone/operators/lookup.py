@@ -144,16 +144,19 @@ def ego_graph(seeds: DataFrame, edges: DataFrame, nodes: DataFrame, depth: int =
     last. Of the edges inside, those at the seed come first, at most 6 * max_nodes in all.
     """
     share = max(4, (max_nodes - 1) // 4)
-    link = edges.select("edge_id", F.col("src").alias("node"), F.col("dst").alias("id"), "rel", "confidence").union(
-        edges.select("edge_id", "dst", "src", "rel", "confidence"))
+    link = edges.select(F.col("src").alias("node"), F.col("dst").alias("id"), "rel", "confidence").union(
+        edges.select("dst", "src", "rel", "confidence"))
     kinds = nodes if types is None else nodes.where(F.col("type").isin(types))
+    rank = F.coalesce(-F.col("score"), -F.col("confidence")) + F.when((F.col("rel") == "subclass_of") & (F.col("type") == "Phenotype"), 100).otherwise(0)
+    near = link.join(kinds, "id").groupBy("node", "id", "type").agg(F.min(rank).alias("rank"))
+    # a seed takes max_nodes of a type at most and has chosen as many before, so more of a hub's neighbours are never needed
+    near = cut(top_n(near, ["node", "type"], ["rank", "id"], 2 * max_nodes), "near")
+    prio = F.coalesce(R.lookup(TYPE_PRIORITY, F.col("type")), F.lit(9))
     chosen = seeds.select(F.col("id").alias("seed"), "id", F.lit(0).alias("hop"), F.lit(0).alias("pos")).distinct()
     for hop in range(1, depth + 1):
         front = chosen.where(F.col("hop") == hop - 1).select("seed", F.col("id").alias("node"))
-        reach = front.join(link, "node").join(chosen.select("seed", "id"), ["seed", "id"], "left_anti").join(kinds, "id")
-        prio = F.coalesce(R.lookup(TYPE_PRIORITY, F.col("type")), F.lit(9))
-        rank = F.coalesce(-F.col("score"), -F.col("confidence")) + F.when((F.col("rel") == "subclass_of") & (F.col("type") == "Phenotype"), 100).otherwise(0)
-        cand = reach.groupBy("seed", "id", "type").agg(F.min(rank).alias("rank")).withColumn("prio", prio)
+        reach = front.join(near, "node").join(chosen.select("seed", "id"), ["seed", "id"], "left_anti")
+        cand = reach.groupBy("seed", "id", "type").agg(F.min("rank").alias("rank")).withColumn("prio", prio)
         used = chosen.groupBy("seed").agg(F.count("*").alias("used"))
         by_type = top_n(cand, ["seed", "type"], ["prio", "rank", "id"], max_nodes, "tpos")
         late = F.when(F.lit(types is None) & (F.col("tpos") > share), 1).otherwise(0)

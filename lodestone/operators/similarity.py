@@ -2,7 +2,7 @@
 
 Pairs are never formed from every pair of holders of an item. `similar_candidates` keeps, per entity, only the rarest
 part of its items that a pair above the wanted score must share (prefix filtering), so hub items drop out of the join
-exactly; `score_pairs` then scores candidates on their full bags.
+exactly; what was left out is then looked up for the candidates only.
 """
 
 from __future__ import annotations
@@ -99,21 +99,25 @@ def item_grades(bags: DataFrame) -> DataFrame:
     return bags.groupBy("kind", "item").agg(F.floor(F.log2(F.count("*").cast("double"))).cast("int").alias("grade"))
 
 
-def _rare_part(bags: DataFrame, min_score: float, grades: DataFrame | None = None) -> DataFrame:
-    """Rows of `bags(kind, entity, item, w)` left after dropping the commonest items of an entity while their mass
-    (sum of squared weights) stays below the share that a pair needs.
+def _graded(bags: DataFrame, min_score: float, grades: DataFrame | None = None) -> DataFrame:
+    """Rows of `bags(kind, entity, item, w)` with the bag size `n` and a flag `kept`.
 
-    Items are graded by the power of two of their frequency, the same grade for every entity, so an entity needs a
-    running sum over at most 64 grades and never over its items.
+    Not kept are the commonest items of an entity as long as their mass (sum of squared weights) stays below the share that
+    a pair needs. Items are graded by the power of two of their frequency, the same grade for every entity, so an entity
+    needs a running sum over at most 64 grades and never over its items.
     """
     graded = bags.where("w > 0").join(item_grades(bags) if grades is None else grades, ["kind", "item"])
     mass = graded.groupBy("kind", "entity", "grade").agg(F.sum(F.col("w") * F.col("w")).alias("m"), F.count("*").alias("c"))
     whole = Window.partitionBy("kind", "entity")
     kept = mass.select(
         "kind", "entity", "grade", F.sum("m").over(whole.orderBy(F.col("grade").desc())).alias("run"),
-        F.sum("m").over(whole).alias("total"), F.sum("c").over(whole).alias("n"))
-    kept = kept.where(F.col("run") >= F.col("total") * _share(min_score)).drop("run", "total")
-    return graded.join(kept, ["kind", "entity", "grade"]).select("kind", "entity", "item", "n")
+        F.sum("m").over(whole).alias("m"), F.sum("c").over(whole).alias("n"))
+    kept = kept.withColumn("kept", F.col("run") >= F.col("m") * _share(min_score)).drop("run")
+    return graded.join(kept, ["kind", "entity", "grade"]).select("kind", "entity", "item", "w", "m", "n", "kept")
+
+
+def _rare_part(bags: DataFrame, min_score: float, grades: DataFrame | None = None) -> DataFrame:
+    return _graded(bags, min_score, grades).where("kept").select("kind", "entity", "item", "n")
 
 
 def similar_candidates(bags: DataFrame, min_score: float, right: DataFrame | None = None) -> DataFrame:
@@ -161,17 +165,49 @@ def score_pairs(pairs: DataFrame, bags: DataFrame) -> DataFrame:
         rows.join(bags, ["kind", "entity", "item"]).groupBy("a", "b", "kind", "ma", "na", "mb", "nb")
         .agg(F.sum(F.col("ws") * F.col("w")).alias("dot"), F.count("*").alias("common"))
     )
-    score = (
+    return over.select("a", "b", "kind", _score().alias("score"), "common")
+
+
+def similar_scores(bags: DataFrame, min_score: float, exclude: DataFrame | None = None) -> DataFrame:
+    """`(a, b, kind, score)` of all pairs that can reach `min_score` in one kind, with their scores in every kind.
+
+    The join that finds candidates, on the kept parts of the bags, already sums up what the pairs share there. Only items
+    dropped on one side, the common ones of little weight, are then looked up for the candidates. `exclude(a, b)`: pairs
+    that do not count.
+    """
+    rows = cut(_graded(bags, min_score), "graded")
+    kept, dropped = rows.where("kept"), rows.where("not kept")
+
+    def side(df: DataFrame, end: str) -> DataFrame:
+        return df.select("kind", "item", F.col("entity").alias(end), F.col("w").alias(f"w{end}"))
+
+    size = rows.select("kind", "entity", "m", "n").distinct()
+    prod = F.col("wa") * F.col("wb")
+    part = side(kept, "a").join(side(kept, "b"), ["kind", "item"]).where("a < b").groupBy("a", "b", "kind").agg(
+        F.sum(prod).alias("dot"), F.count("*").alias("common"))
+    part = cut(part if exclude is None else part.join(exclude, ["a", "b"], "left_anti"), "kept-pairs")
+    fits = F.least("na", "nb") >= F.greatest("na", "nb") * _share(min_score)
+    sized = lambda df: df.join(size.toDF("kind", "a", "ma", "na"), ["kind", "a"]).join(size.toDF("kind", "b", "mb", "nb"), ["kind", "b"])
+    cand = cut(sized(part).where((F.col("kind") == "cosine") | fits).select("a", "b").distinct(), "candidates")
+    from_a = cand.join(side(dropped, "a"), "a").join(side(rows, "b"), ["kind", "item", "b"])
+    from_b = cand.join(side(dropped, "b"), "b").join(side(kept, "a"), ["kind", "item", "a"])
+    more = [df.groupBy("a", "b", "kind").agg(F.sum(prod).alias("dot"), F.count("*").alias("common")) for df in (from_a, from_b)]
+    total = union_all([part.join(cand, ["a", "b"], "left_semi"), *more]).groupBy("a", "b", "kind").agg(
+        F.sum("dot").alias("dot"), F.sum("common").alias("common"))
+    return sized(total).select("a", "b", "kind", _score().alias("score"))
+
+
+def _score() -> Column:
+    return (
         F.when(F.col("kind") == "cosine", F.col("dot") / F.sqrt(F.col("ma") * F.col("mb")))
         .when(F.col("kind") == "jaccard", F.col("common") / (F.col("na") + F.col("nb") - F.col("common")))
         .otherwise(F.col("common") / F.sqrt((F.col("na") * F.col("nb")).cast("double")))
     )
-    return over.select("a", "b", "kind", score.alias("score"), "common")
 
 
 def similar_pairs(bags: DataFrame, min_score: float) -> DataFrame:
     """`(a, b, kind, score)` with a < b: every pair whose score reaches `min_score`."""
-    return score_pairs(similar_candidates(bags, min_score), bags).where(F.col("score") >= min_score)
+    return similar_scores(bags, min_score).where(F.col("score") >= min_score)
 
 
 def weighted_cosine_pairs(propagated: DataFrame, min_score: float) -> DataFrame:
@@ -199,17 +235,15 @@ def combine_scores(bags: DataFrame, closure: DataFrame, floor: float,
     """
     if sum(weights) > 1 + SLACK:
         raise ValueError("weights must not add up to more than one")
-    cand = similar_candidates(bags, floor)
     related = closure.where("dist > 0").select("id", "ancestor")
     related = related.toDF("a", "b").union(related.select("ancestor", "id"))
-    cand = cut(cand.join(related, ["a", "b"], "left_anti"), "candidates")
-    return weigh(cand, bags, weights).where(F.col("score") >= floor)
+    return weigh(similar_scores(bags, floor, related), weights).where(F.col("score") >= floor)
 
 
-def weigh(pairs: DataFrame, bags: DataFrame, weights: tuple[float, float, float] = (0.5, 0.3, 0.2)) -> DataFrame:
-    """All components and the weighted sum of given pairs that share anything."""
+def weigh(scores: DataFrame, weights: tuple[float, float, float] = (0.5, 0.3, 0.2)) -> DataFrame:
+    """The three components side by side and their weighted sum, from `scores(a, b, kind, score)`."""
     names = {"cosine": "s_term", "jaccard": "s_path", "ochiai": "s_lit"}
-    out = score_pairs(pairs, bags).groupBy("a", "b").agg(*[
+    out = scores.groupBy("a", "b").agg(*[
         F.coalesce(F.max(F.when(F.col("kind") == k, F.col("score"))), F.lit(0.0)).alias(n) for k, n in names.items()])
     wt, wp, wl = weights
     # sums depend on the order of rows in their last digits; rounded, equal profiles tie whatever the partitioning
