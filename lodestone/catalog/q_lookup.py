@@ -75,10 +75,10 @@ view("x_eo", """SELECT id, org, how, via, prio FROM (SELECT *, row_number() OVER
   UNION ALL SELECT x_et.id, r.org, 2, 'sponsors', r.trial FROM x_et JOIN v_runs r ON r.trial = x_et.trial JOIN v_trial t ON t.id = r.trial WHERE n_conditions <= 10) u) v WHERE rn = 1""")
 view("x_dgp", "SELECT DISTINCT gene, pathway FROM v_pw_raw WHERE gene IN (SELECT gene FROM v_gd)")
 view("x_pr", """SELECT *, CASE WHEN bool_or(strong) OVER (PARTITION BY id) THEN strong ELSE row_number() OVER (PARTITION BY id ORDER BY relevance DESC, n_genes, label, pathway) <= 3 END AS relevant FROM (
-  SELECT *, atlas_genes >= 2 AND relevance >= 0.05 AS strong FROM (
-    SELECT x_eg.id, d.pathway, p.label, min(x_eg.gene) AS via_gene, p.n_genes, c.atlas_genes, c.atlas_genes / p.n_genes AS relevance
-    FROM x_eg JOIN x_dgp d ON d.gene = x_eg.gene JOIN v_pathway p ON p.id = d.pathway JOIN (SELECT pathway, count(*) AS atlas_genes FROM x_dgp GROUP BY pathway) c ON c.pathway = d.pathway
-    GROUP BY x_eg.id, d.pathway, p.label, p.n_genes, c.atlas_genes) u) v""")
+  SELECT *, disease_genes >= 2 AND relevance >= 0.05 AS strong FROM (
+    SELECT x_eg.id, d.pathway, p.label, min(x_eg.gene) AS via_gene, p.n_genes, c.disease_genes, c.disease_genes / p.n_genes AS relevance
+    FROM x_eg JOIN x_dgp d ON d.gene = x_eg.gene JOIN v_pathway p ON p.id = d.pathway JOIN (SELECT pathway, count(*) AS disease_genes FROM x_dgp GROUP BY pathway) c ON c.pathway = d.pathway
+    GROUP BY x_eg.id, d.pathway, p.label, p.n_genes, c.disease_genes) u) v""")
 view("x_nb0", """SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, other) AS pos, CASE WHEN cross_group THEN row_number() OVER (PARTITION BY id, cross_group ORDER BY score DESC, other) END AS cpos FROM (
   SELECT e.id, e.other, e.score, g1.grp <> g2.grp AS cross_group FROM (SELECT a AS id, b AS other, score FROM x_top UNION ALL SELECT b, a, score FROM x_top) e
   JOIN v_entity g1 ON g1.id = e.id JOIN v_entity g2 ON g2.id = e.other
@@ -103,7 +103,7 @@ def _(t):
     return L.entity_trials(ids(t), B.family(t), t("v_study"))
 
 
-@query("pathway_relevance", "SELECT id, pathway, label, via_gene, n_genes, atlas_genes, round(relevance, 6) AS relevance, relevant FROM x_pr")
+@query("pathway_relevance", "SELECT id, pathway, label, via_gene, n_genes, disease_genes, round(relevance, 6) AS relevance, relevant FROM x_pr")
 def _(t):
     return L.pathway_relevance(genes(t), disease_gene_pathways(t), t("v_pathway")).withColumn("relevance", F.round("relevance", 6))
 

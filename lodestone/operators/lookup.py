@@ -55,17 +55,17 @@ def pathway_relevance(genes: DataFrame, gene_pathways: DataFrame, pathways: Data
     `genes(id, gene)`, `gene_pathways(gene, pathway)` of all disease genes, `pathways(id, label, n_genes)`. Relevant is a
     pathway with `min_genes` disease genes that are `min_share` of it; an id without any keeps its first `fallback`.
     """
-    counts = gene_pathways.groupBy("pathway").agg(F.countDistinct("gene").alias("atlas_genes"))
+    counts = gene_pathways.groupBy("pathway").agg(F.countDistinct("gene").alias("disease_genes"))
     reached = genes.join(gene_pathways, "gene").groupBy("id", "pathway").agg(F.min("gene").alias("via_gene"))
     rows = reached.join(counts, "pathway").join(pathways.select(F.col("id").alias("pathway"), "label", "n_genes"), "pathway")
-    rows = rows.withColumn("relevance", F.col("atlas_genes") / F.col("n_genes"))
-    rows = rows.withColumn("strong", (F.col("atlas_genes") >= min_genes) & (F.col("relevance") >= min_share))
+    rows = rows.withColumn("relevance", F.col("disease_genes") / F.col("n_genes"))
+    rows = rows.withColumn("strong", (F.col("disease_genes") >= min_genes) & (F.col("relevance") >= min_share))
     order = [F.col("relevance").desc(), "n_genes", "label", "pathway"]
     any_strong = rows.groupBy("id").agg(F.bool_or("strong").alias("any_strong"))
     head = top_n(rows.select("id", "pathway", "relevance", "n_genes", "label"), "id", order, fallback, "pos").select("id", "pathway", "pos")
     out = rows.join(any_strong, "id").join(head, ["id", "pathway"], "left")
     relevant = F.when(F.col("any_strong"), F.col("strong")).otherwise(F.col("pos").isNotNull())
-    return out.select("id", "pathway", "label", "via_gene", "n_genes", "atlas_genes", "relevance", relevant.alias("relevant"))
+    return out.select("id", "pathway", "label", "via_gene", "n_genes", "disease_genes", "relevance", relevant.alias("relevant"))
 
 
 def organizations_for(ids: DataFrame, family: DataFrame, parents: DataFrame, serves: DataFrame, trials: DataFrame, runs: DataFrame,

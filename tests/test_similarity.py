@@ -20,12 +20,13 @@ def random_bags(seed, n=60, items=40):
     return bags
 
 
-WEIGHT = {"hub": 0.4}
+def weight(item):
+    return 0.4 if item == "hub" else 1.0 + int(item[1:]) % 5
 
 
 def brute(bags, measure, floor):
     names, out = sorted(bags), {}
-    w = lambda i: WEIGHT.get(i, 1.0 + int(i[1:] or 0) % 5)
+    w = weight
     for x, a in enumerate(names):
         for b in names[x + 1:]:
             both = bags[a] & bags[b]
@@ -46,7 +47,7 @@ def brute(bags, measure, floor):
 @pytest.mark.parametrize("floor", [0.1, 0.45, 0.8])
 def test_prefix_filter_loses_no_pair(frame, measure, floor):
     bags = random_bags(7)
-    w = lambda i: float(WEIGHT.get(i, 1.0 + int(i[1:] or 0) % 5)) if measure == "cosine" else 1.0
+    w = weight if measure == "cosine" else lambda i: 1.0
     df = frame([(measure, e, i, w(i)) for e, bag in bags.items() for i in bag], "kind string, entity string, item string, w double")
     got = {(r.a, r.b): round(r.score, 9) for r in S.similar_pairs(df, floor).collect()}
     assert got == brute(bags, measure, floor)
