@@ -64,7 +64,7 @@ def _(t):
 
 
 @query("flatten_grants", """SELECT project_num, fy, core, title, abstract, round(amount, 2) AS amount, terms, start, active, queries FROM (
-  SELECT project_num, fy, core, 'Order ' || priority AS title, substr('An abstract  of '  || core, 1, 11) || ' of ' || core AS abstract, amount, 'alpha|' || priority AS terms, start_date AS start, active,
+  SELECT project_num, fy, core, 'Order ' || priority AS title, 'An abstract of ' || core AS abstract, amount, 'alpha|' || priority AS terms, start_date AS start, active,
     CASE WHEN priority = '1-URGENT' THEN 'p1|p2' ELSE 'p1' END AS queries FROM v_project_raw) u""")
 def _(t):
     path = folder(t, "projects")
