@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lodestone.llm import exact_dedup, language_id, lm_scoring
+from lodestone.llm import bpe, exact_dedup, language_id, lm_scoring
 
 QUERIES = {
     "op2_lm_scoring": lm_scoring.op2_lm_scoring,
     "op3_language_id": language_id.op3_language_id,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op7_bpe": bpe.op7_bpe,
 }
 SQL = {"op6_exact_dedup": exact_dedup.OP6_SQL}
