@@ -65,9 +65,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # equal bytes fall together before the shuffle, so a text that fills a third of the table costs a row per task
     links = rows.withColumn("key", key).join(owned, "key").groupBy("bucket", "key", "body").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     chains = cut(links.select("key", F.unhex(F.sha2(F.col("body").cast("binary"), 256)).alias("sha"), "keep_id", "group_size"), "links")
-    found = pages.join(chains, ["key", "sha"], "left")
+    # repeated rows are told apart by id before the join, so that no step after it needs a chain in one task
     same = Window.partitionBy("id", "key", "sha").orderBy("bytes")
-    kept = (F.col("group_size").isNull() | F.col("id").eqNullSafe(F.col("keep_id"))) & (F.row_number().over(same) == 1)
+    found = pages.withColumn("copy", F.row_number().over(same)).join(chains, ["key", "sha"], "left")
+    kept = (F.col("group_size").isNull() | F.col("id").eqNullSafe(F.col("keep_id"))) & (F.col("copy") == 1)
     return found.select(
         F.col("id").alias(id_col),
         F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"),
