@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from lodestone.llm import bpe, exact_dedup, language_id, lm_scoring
+from lodestone.llm import bpe, exact_dedup, html_text, language_id, lm_scoring, token_counts
 
 QUERIES = {
+    "op1_html_text": html_text.op1_html_text,
     "op2_lm_scoring": lm_scoring.op2_lm_scoring,
     "op3_language_id": language_id.op3_language_id,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_bpe": bpe.op7_bpe,
+    "op9_token_counts": token_counts.op9_token_counts,
 }
 SQL = {"op6_exact_dedup": exact_dedup.OP6_SQL}
