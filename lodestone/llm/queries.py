@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import bpe, exact_dedup, html_text, language_id, lm_scoring, token_counts
+from lodestone.llm import bpe, exact_dedup, html_text, language_id, lm_scoring, pii, token_counts
 
 QUERIES = {
     "op1_html_text": html_text.op1_html_text,
@@ -11,5 +11,6 @@ QUERIES = {
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_bpe": bpe.op7_bpe,
     "op9_token_counts": token_counts.op9_token_counts,
+    "op10_pii": pii.op10_pii,
 }
 SQL = {"op6_exact_dedup": exact_dedup.OP6_SQL}
