@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import bpe, exact_dedup, html_text, language_id, lm_scoring, pii, token_counts
+from lodestone.llm import bpe, exact_dedup, html_text, jaccard_join, language_id, lm_scoring, pii, token_counts
 
 QUERIES = {
     "op1_html_text": html_text.op1_html_text,
@@ -10,7 +10,8 @@ QUERIES = {
     "op3_language_id": language_id.op3_language_id,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_bpe": bpe.op7_bpe,
+    "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_pii": pii.op10_pii,
 }
-SQL = {"op6_exact_dedup": exact_dedup.OP6_SQL}
+SQL = {"op6_exact_dedup": exact_dedup.OP6_SQL, "op8_jaccard_join": jaccard_join.OP8_SQL}
