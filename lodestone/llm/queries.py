@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from lodestone.llm import bpe, exact_dedup, html_text, jaccard_join, language_id, lm_scoring, pii, token_counts
+from lodestone.llm import bpe, decontamination, exact_dedup, html_text, jaccard_join, language_id, lm_scoring, pii, substring_dedup, token_counts
 
 QUERIES = {
     "op1_html_text": html_text.op1_html_text,
     "op2_lm_scoring": lm_scoring.op2_lm_scoring,
     "op3_language_id": language_id.op3_language_id,
+    "op4_decontamination": decontamination.op4_decontamination,
+    "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_bpe": bpe.op7_bpe,
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
