@@ -293,16 +293,20 @@ class Encoder:
             n += sum([f[2] for f in found])
         return n, ids.hexdigest(), decoded.hexdigest()
 
-    def ids_and_text(self, text: str) -> tuple[list[int], str]:
-        """The ids of a text and its decoded form."""
-        ids: list[int] = []
+    def ids_of(self, text: str) -> np.ndarray:
+        """The ids of a text."""
+        found = [b""]
         for part in self.parts(text):
             if isinstance(part, int):
-                ids.append(part)
-            else:
-                self.learn(set(part))
-                for w in part:
-                    ids += np.frombuffer(self.known[w][0], "<u4").tolist()
+                found.append(np.array([part], "<u4").tobytes())
+                continue
+            self.learn(set(part))
+            found += [self.known[w][0] for w in part]
+        return np.frombuffer(b"".join(found), "<u4")
+
+    def ids_and_text(self, text: str) -> tuple[list[int], str]:
+        """The ids of a text and its decoded form."""
+        ids = self.ids_of(text).tolist()
         return ids, decode(self.v, ids)
 
 
@@ -311,47 +315,46 @@ def decode(v: Vocabulary, ids: list[int]) -> str:
     return " ".join([v.strings[i] for i in ids])
 
 
-def _digests(vocabulary):
-    def run(batches_of):
-        encoder = Encoder(vocabulary.value)
-        for batch in batches_of:
-            found = list(encoder.digests(batch.column("text").to_pylist()))
-            yield pa.record_batch([batch.column("doc_id"), *(pa.array(x) for x in (zip(*found, strict=True) if found else ([], [], [])))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return run
-
-
-def _encoded(vocabulary):
+def _encoded(vocabulary, with_ids: bool):
     def run(batches_of):
         encoder = Encoder(vocabulary.value)
         for batch in batches_of:
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                ids, decoded = encoder.ids_and_text(text)
-                yield pa.record_batch([batch.column("rid").slice(i, 1), pa.array([ids], pa.list_(pa.int32())), pa.array([decoded])], names=["rid", "ids", "decoded"])
+            at = 0
+            while at < batch.num_rows:
+                # as many rows as hold some megabytes of text, so long texts do not add up
+                part = batch.slice(at, 1)
+                size = part.column("text")[0].as_py().__len__()
+                end = at + 1
+                while end < batch.num_rows and size < 4 * PART:
+                    size += len(batch.column("text")[end].as_py())
+                    end += 1
+                part = batch.slice(at, end - at)
+                texts = part.column("text").to_pylist()
+                columns = [part.column("doc_id"), *(pa.array(x) for x in zip(*encoder.digests(texts), strict=True))]
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                if with_ids:
+                    columns.append(pa.array([encoder.ids_of(t) for t in texts], pa.list_(pa.int32())))
+                    names.append("ids")
+                yield pa.record_batch(columns, names=names)
+                at = end
 
     return run
 
 
-def token_digests(docs: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
-    """Per row: id, n_tokens, ids_sha256, decoded_sha256. Null texts count as empty: no tokens, digests of nothing.
+def token_digests(docs: DataFrame, path: str, id_col: str = "doc_id", with_ids: bool = False) -> DataFrame:
+    """Per row: id, n_tokens, ids_sha256, decoded_sha256, and the ids themselves if wanted.
 
-    A scan without a shuffle; rows are independent, so ties, repeated rows and an empty table need no rule. Texts are taken
-    in parts, a word of any length as a whole. Strings of special tokens in a text are these tokens.
+    Null texts count as empty: no tokens, digests of nothing. A scan without a shuffle; rows are independent, so ties, repeated rows and
+    an empty table need no rule. Texts are taken in parts, a word of any length as a whole. Strings of special tokens in a text are
+    these tokens. Other columns are ignored.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty().alias("text"))
     vocabulary = docs.sparkSession.sparkContext.broadcast(load(path))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    out = rows.mapInArrow(_digests(vocabulary), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    out = rows.mapInArrow(_encoded(vocabulary, with_ids), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
     return out.withColumnRenamed("doc_id", id_col)
 
 
-def encode_texts(texts: DataFrame, path: str) -> DataFrame:
-    """Ids and decoded text of every row (rid, text); null texts count as empty."""
-    rows = texts.select("rid", text_or_empty().alias("text"))
-    vocabulary = texts.sparkSession.sparkContext.broadcast(load(path))
-    return rows.mapInArrow(_encoded(vocabulary), f"rid {rows.schema['rid'].dataType.simpleString()}, ids array<int>, decoded string")
-
-
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 

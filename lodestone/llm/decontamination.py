@@ -23,7 +23,7 @@ from lodestone.llm.base import LOWER, chunks, row_ids, table, text_or_empty, tex
 SIZES = (16, 48)
 RANK, SPARE = 256, 16
 #: Least cosine of a candidate; shares of an item's words in order that decide alone, or with the item's answer.
-COSINE, ALONE, WITH_ANSWER = 0.5, 0.8, 0.5
+COSINE, ALONE, WITH_ANSWER = 0.45, 0.8, 0.5
 #: The benchmark is the small side: its texts together may hold so many bytes.
 MOST_BYTES = 32 << 20
 GROUP_BYTES = 2 << 20
