@@ -166,3 +166,8 @@ def batches(schema: pa.Schema, columns: list[np.ndarray], size: int = 1 << 18) -
     """Arrays as record batches of bounded size."""
     for at in range(0, len(columns[0]), size):
         yield pa.record_batch([pa.array(c[at : at + size], t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+
+
+def small_side(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """A table of few narrow rows, marked for broadcast after they were counted; beyond `most` rows the join is left to shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

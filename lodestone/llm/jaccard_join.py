@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from lodestone.common import cut
-from lodestone.llm.base import LOWER, chunks, mix, row_ids, table, text_or_empty, texts_of, word_hashes
+from lodestone.llm.base import LOWER, chunks, mix, row_ids, small_side, table, text_or_empty, texts_of, word_hashes
 from lodestone.llm.graph import components
 
 WIDTH, PERCENT = 4, 85
@@ -159,7 +159,12 @@ def _full_sets(width: int):
 
 
 def lists_of(reps: DataFrame, x: int, percent: int = PERCENT) -> DataFrame:
-    """(key, rep, n): the inverted lists of large sets and the pair lists of small ones, with two members or more possible."""
+    """(key, rep, n): the inverted lists of large sets and the pair lists of small ones, with two members or more possible.
+
+    Tokens are shuffled by as many leading bits as keep chance meetings below one in 256; equal tokens always meet.
+    """
+    tokens = reps.agg(F.sum(F.size("tokens"))).first()[0] or 0
+    bits = min(62, max(32, math.ceil(math.log2(tokens + 1)) + 8))
     least_small = F.col("n") * percent < 100 * x
     large = reps.filter(F.col("n") >= x).select("rid", "n", "region", F.lit(0).alias("small"), F.explode("tokens").alias("t"))
     # tokens are sorted as unsigned numbers; those below the region's end come first
@@ -170,10 +175,10 @@ def lists_of(reps: DataFrame, x: int, percent: int = PERCENT) -> DataFrame:
         "rid", "n", "region", F.lit(0).alias("small"), F.explode(F.expr(f"slice(tokens, int(region) + 1, int(greatest(0L, n - int(ceil({percent} * n / 100.0D)) + 1 - region)))")).alias("t")
     )
     small = reps.filter(least_small).select("rid", "n", F.col("n").alias("region"), F.lit(1).alias("small"), F.explode("tokens").alias("t"))
-    postings = large.unionByName(spare).unionByName(small).withColumn("key", F.expr("(t & -2L) | small"))
+    postings = large.unionByName(spare).unionByName(small).withColumn("key", F.shiftrightunsigned("t", 64 - bits) * 2 + F.col("small"))
     counts = postings.groupBy("key").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     shared = postings.select("rid", "n", "region", "small", "key").join(counts, "key")
-    counted = (F.col("small") == 1) | (F.shiftrightunsigned("key", 56) < REGION)
+    counted = (F.col("small") == 1) | (F.shiftrightunsigned("key", bits + 1 - 8) < REGION)
     mine = Window.partitionBy("rid", "small")
     room = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)).cast("long") + 1 + F.col("small")
     ranked = shared.withColumn("known", counted).withColumn("place", F.row_number().over(mine.orderBy(F.col("known").desc(), "df", "key"))).withColumn("held", F.count(F.when(F.col("known"), 1)).over(mine))
@@ -195,8 +200,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kind = rows.schema["doc_id"].dataType.simpleString()
     sets = cut(rows.mapInArrow(_sets(width, percent), f"rid long, doc_id {kind}, th long, n long, region long, s1 long, s2 long, tokens array<long>"), "sets")
     classes = cut(sets.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("rid").alias("rep"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")), "classes")
-    copies = sets.select("rid", "n", "s1", "s2").join(classes.filter("rows > 1"), ["n", "s1", "s2"]).filter("rid <> rep").select("rid")
-    reps = sets.filter("n > 0").join(copies, "rid", "left_anti")
+    copies = cut(sets.select("rid", "n", "s1", "s2").join(classes.filter("rows > 1"), ["n", "s1", "s2"]).filter("rid <> rep").select("rid"), "copies")
+    reps = sets.filter("n > 0").join(small_side(copies), "rid", "left_anti")
     sizes = {r["n"]: r["c"] for r in classes.filter(F.col("n") <= WHOLE).groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()}
     lists = cut(lists_of(reps, boundary(sizes, percent), percent), "lists")
     alike = lambda n, m: (F.least(n, m) * 100 >= F.greatest(n, m) * percent)
@@ -232,7 +237,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _sets_of(rows: DataFrame, sets: DataFrame, members: DataFrame, width: int) -> DataFrame:
     """(rid, items): whole sets of the members of lists, from a second look at their texts alone."""
     wanted = cut(sets.join(members, "rid", "left_semi").select("rid", "th", "s1", "s2"), "wanted")
-    texts = rows.select("th", "text").join(wanted.select("th").distinct(), "th", "left_semi")
+    texts = rows.select("th", "text").join(small_side(cut(wanted.select("th").distinct(), "texts")), "th", "left_semi")
     found = texts.select("text").mapInArrow(_full_sets(width), "s1 long, s2 long, items binary")
     return found.join(wanted, ["s1", "s2"]).groupBy("rid").agg(F.first("items").alias("items"))
 
