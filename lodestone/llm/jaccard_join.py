@@ -110,8 +110,8 @@ def _sets(width: int, percent: int):
 def boundary(sizes: dict[int, int], percent: int = PERCENT) -> int:
     """Size from which sets go through inverted lists: the one of least cost in rows handled.
 
-    A small set costs all its tokens and the pairs of its head. A large one costs the tokens of the counted region, and its whole set if
-    chance leaves so few tokens there that it can't be ruled out.
+    A small set costs all its tokens and the pairs of its head. A large one costs the tokens of the counted region, and if chance leaves so
+    few tokens there that it can't be ruled out, its text again and its set on both ways of a comparison.
     """
 
     def small(n: int) -> float:
@@ -121,7 +121,7 @@ def boundary(sizes: dict[int, int], percent: int = PERCENT) -> int:
     def large(n: int) -> float:
         share = REGION / 256
         z = (head(n, percent) + 1 - n * share) / math.sqrt(max(1e-9, n * share * (1 - share)))
-        return n * share + (0.5 * math.erfc(-z / math.sqrt(2))) * 2 * n
+        return n * share + (0.5 * math.erfc(-z / math.sqrt(2))) * 4 * n
 
     top = WHOLE * percent // 100
     costs = {x: sum(c * (small(n) if 100 * n < 100 * x else 0) + c * (large(n) if n >= x else 0) + c * (small(n) if x <= n and percent * n < 100 * x else 0) for n, c in sizes.items()) for x in range(1, top + 1)}

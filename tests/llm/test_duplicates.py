@@ -89,7 +89,7 @@ def test_near_duplicates_odd_rows(odd, none):
 
 def test_boundary_follows_the_cost():
     assert 1 <= jaccard_join.boundary({}) <= jaccard_join.WHOLE
-    assert jaccard_join.boundary({3: 10, 60: 1}) >= 1 and jaccard_join.boundary({10: 1000}) > 10
+    assert jaccard_join.boundary({10: 1000}) > 10 and jaccard_join.boundary({50: 1000}) <= 50
 
 
 def test_exact_chains_of_one_key_stay_apart(docs):
@@ -132,7 +132,8 @@ def test_repeated_passages(spark):
             text[at:at] = passage
         if 6 <= i < 10:
             at = rng.randrange(len(text))
-            text[at:at] = mutated(rng, edited, 1)
+            # one word differs, near the front, so paragraphs behind it are equal
+            text[at:at] = [*edited[: 2 * i - 10], f"new{i}", *edited[2 * i - 9 :]]
         if i % 2:
             text[5:5] = line
         rows.append((i, " ".join(text)))
