@@ -3,9 +3,11 @@
 The vocabulary is that of the benchmark, weighted by inverse document frequencies over all documents; other words weigh as its median
 word and have no direction of their own. Every document is covered by half-overlapping windows of 16 and of 48 words. The cosine
 with a benchmark item can't exceed the root of the share of a window's squared weight that lies in the vocabulary, so windows below
-the bound are passed over exactly. The windows left and the items, weighted to equal shares, make the TF-IDF matrix whose leading
-right singular vectors a randomised SVD finds in two distributed passes. Windows near an item in that space are candidates. The
-longest common subsequence of the item with the words around a candidate then decides, together with the item's answer.
+the bound are passed over exactly. The windows left and the items make the TF-IDF matrix whose leading right singular vectors a
+randomised SVD finds in two distributed passes. Items weigh as much as all windows together, each of them, so every item has its
+direction in the space and the windows fill the other dimensions. Windows near an item in that space are candidates. The longest
+common subsequence of the item with the words around a candidate then decides, together with the item's answer. Large benchmarks
+are taken in blocks of items, each with a space of its own.
 """
 
 from __future__ import annotations
@@ -17,13 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.common import cut
+from lodestone.common import cut, union_all
 from lodestone.llm.base import LOWER, chunks, row_ids, table, text_or_empty, texts_of, word_hashes
 
 SIZES = (16, 48)
-RANK, SPARE = 256, 16
-#: Least cosine of a candidate; shares of an item's words in order that decide alone, or with the item's answer.
-COSINE, ALONE, WITH_ANSWER = 0.45, 0.8, 0.5
+#: Items of a block, dimensions of the space besides theirs, and columns of the range finder to spare.
+BLOCK, EXTRA, SPARE = 256, 32, 16
+#: Least cosine of a candidate; shares of an item's words in order that decide alone, or with the item's answer. Wherever a passage of 15
+#: to 60 words lies, some window has a cosine of 0.71 with it if all its words weigh alike; the rest is room for uneven weights and changes.
+COSINE, ALONE, WITH_ANSWER = 0.55, 0.8, 0.5
 #: The benchmark is the small side: its texts together may hold so many bytes.
 MOST_BYTES = 32 << 20
 GROUP_BYTES = 2 << 20
@@ -107,15 +111,23 @@ def promising(counts, terms, weights, other, size, least):
     return row[keep], first[keep], last[keep], np.sqrt(inner + outer)[keep]
 
 
+def inside(terms: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The vocabulary's words of windows, one window after another, and their number in each."""
+    lengths = last - first
+    owner = np.repeat(np.arange(len(first)), lengths)
+    held = terms[np.arange(len(owner)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + first[owner]]
+    known = held >= 0
+    return held[known], np.bincount(owner[known], minlength=len(first))
+
+
 def _passages(model):
     def run(batches_of):
         hashes, weights, other, least = model.value
         for batch in batches_of:
             for _, counts, terms in words_of(texts_of(batch, "text"), hashes):
                 _, first, last, _ = promising(counts, terms, weights, other, SIZES[-1], least)
-                lists = [terms[a:b][terms[a:b] >= 0] for a, b in zip(first, last, strict=True)]
-                offsets = np.concatenate(([0], np.cumsum([len(x) for x in lists])))
-                yield pa.record_batch([pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int64), pa.int32()))], names=["terms"])
+                held, lengths = inside(terms, first, last)
+                yield pa.record_batch([pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32()), pa.array(held, pa.int32()))], names=["terms"])
 
     return run
 
@@ -156,13 +168,13 @@ def _gram(model):
     return run
 
 
-def latent_space(passages: DataFrame, weights: np.ndarray, rank: int = RANK) -> np.ndarray:
+def latent_space(passages: DataFrame, weights: np.ndarray, rank: int) -> np.ndarray:
     """Leading right singular vectors of the weighted rows (terms, share) by a randomised range finder and one projection.
 
     Two passes over the rows; each task adds up its part of A^T A X, the parts are added by term.
     """
     spark, d = passages.sparkSession, len(weights)
-    width = min(d, rank + SPARE)
+    width = min(d, rank + SPARE)  # as many columns as the space gets, and some to spare
     fields = [F.sum(F.col("values")[j]).alias(f"c{j}") for j in range(width)]
 
     def gram(right: np.ndarray) -> np.ndarray:
@@ -191,6 +203,19 @@ def common_words(item: np.ndarray, text: np.ndarray) -> int:
     return len(item) - row.bit_count()
 
 
+def closest(item: np.ndarray, text: np.ndarray, least: int) -> int:
+    """Most words of the item that some stretch of the text, half as long again as the item, holds in order; 0 if fewer than `least`.
+
+    Neither the words that both hold nor the subsequence over the whole text can be fewer, so most texts need one look.
+    """
+    n = len(item)
+    if int(np.isin(item, text).sum()) < least or common_words(item, text) < least:
+        return 0
+    size, step = n + n // 2, max(1, n // 4)
+    best = max(common_words(item, text[at : at + size]) for at in range(0, max(1, len(text) - size + step), step))
+    return best if best >= least else 0
+
+
 def answer_of(item: np.ndarray) -> np.ndarray:
     """The last fifth of an item's words, three at least: what a question leads to."""
     return item[-max(3, len(item) // 5) :]
@@ -216,24 +241,20 @@ def _search(model):
                     row, first, last, norm = promising(counts, terms, weights, other, size, least)
                     for part in range(0, len(row), 4000):
                         a, b = first[part : part + 4000], last[part : part + 4000]
-                        pieces = [terms[x:y][terms[x:y] >= 0] for x, y in zip(a, b, strict=True)]
-                        z = rows_times(np.concatenate(pieces), np.array([len(p) for p in pieces]), weights, space)
+                        z = rows_times(*inside(terms, a, b), weights, space)
                         cosine = (z @ latent.T) / (norm[part : part + 4000, None] * norms[None, :])
-                        for w, i in np.argwhere(cosine >= least):
+                        pairs = np.argwhere(cosine >= least)
+                        for w, i in pairs[np.argsort(-cosine[pairs[:, 0], pairs[:, 1]], kind="stable")].tolist():
                             r, n = row[part + w], len(items[i])
+                            key = (at + int(r), i)
+                            if key in found and found[key][0] == n:
+                                continue
                             lo, hi = max(begin[r], a[w] - n), min(begin[r] + counts[r], b[w] + n)
-                            near = terms[lo:hi]
-                            # a stretch little longer than the item, around the words that both have
-                            both = np.flatnonzero(np.isin(near, items[i]))
-                            best = 0
-                            for shift in range(0, max(1, len(near) - n + 1), max(1, n // 4)):
-                                if best < n:
-                                    stretch = near[shift : shift + n + n // 2]
-                                    if len(both) and len(stretch):
-                                        best = max(best, common_words(items[i], stretch))
-                            told = _holds(near, answer_of(items[i]))
-                            if best >= alone * n or (best >= with_answer * n and told):
-                                key = (at + int(r), int(i))
+                            best = closest(items[i], terms[lo:hi], int(np.ceil(with_answer * n)))
+                            if best < with_answer * n:
+                                continue
+                            told = _holds(terms[lo:hi], answer_of(items[i]))
+                            if best >= alone * n or told:
                                 value = (best, n, float(cosine[w, i]), told, int(lo - begin[r]), int(hi - begin[r]))
                                 if key not in found or value[:1] > found[key][:1]:
                                     found[key] = value
@@ -258,13 +279,13 @@ def _search(model):
 RESULT = "doc_id {0}, item_id {1}, common long, item_words long, cosine double, answer_found boolean, start_word long, end_word long"
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", rank: int = RANK, cosine: float = COSINE, alone: float = ALONE, with_answer: float = WITH_ANSWER) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", extra: int = EXTRA, cosine: float = COSINE, alone: float = ALONE, with_answer: float = WITH_ANSWER) -> DataFrame:
     """A row per document and benchmark item that it leaks: id, item_id, common (words of the item in order), item_words, cosine,
     answer_found, and the words between which the passage lies.
 
     Documents without a leak have no row; so have null and empty texts. A benchmark that is empty, or whose items are null or blank,
     gives an empty result. Items of equal id and text count once; repeated documents are reported again. Lower case A-Z; other columns
-    are ignored. Three scans of the texts; only the benchmark and the latent space of its vocabulary go to every task.
+    are ignored. Three scans of the texts a block of items; only the block and the latent space of its vocabulary go to every task.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).cast("binary").alias("text"))
@@ -272,26 +293,34 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     bench = read_benchmark(benchmark, item_col)
     if not bench.items:
         return spark.createDataFrame([], RESULT.format(*kinds)).withColumnRenamed("doc_id", id_col)
-    d = len(bench.hashes)
     n_docs = rows.count()
-    seen = rows.select("text").mapInArrow(_frequencies(spark.sparkContext.broadcast(bench.hashes)), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    df = np.zeros(d)
+    found = [_leaks(rows, bench, at, n_docs, extra, (cosine, alone, with_answer)) for at in range(0, len(bench.items), BLOCK)]
+    names = spark.createDataFrame([(i, x) for i, x in enumerate(bench.ids)], f"item int, item_id {kinds[1]}")
+    return union_all(found).join(names, "item").select(F.col("doc_id").alias(id_col), "item_id", "common", "item_words", "cosine", "answer_found", "start_word", "end_word")
+
+
+def _leaks(rows: DataFrame, bench: Benchmark, begin: int, n_docs: int, extra: int, limits: tuple[float, float, float]) -> DataFrame:
+    """The leaks of a block of items, which are numbered from `begin`."""
+    spark = rows.sparkSession
+    words = [bench.hashes[x] for x in bench.items[begin : begin + BLOCK]]
+    hashes = np.unique(np.concatenate(words))
+    items = [np.searchsorted(hashes, x) for x in words]
+    seen = rows.select("text").mapInArrow(_frequencies(spark.sparkContext.broadcast(hashes)), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(len(hashes))
     df[seen["term"].to_numpy()] = seen["n"].to_numpy()
     weights = np.log((n_docs + 1) / (df + 1)) + 0.1
     other = float(np.median(weights))
-    model = spark.sparkContext.broadcast((bench.hashes, weights, other, cosine))
+    lengths, flat = np.array([len(x) for x in items]), np.concatenate(items)
+    norms = np.sqrt(np.add.reduceat(weights[flat] ** 2, np.cumsum(lengths) - lengths))
+    model = spark.sparkContext.broadcast((hashes, weights, other, limits[0]))
     passages = cut(rows.select("text").mapInArrow(_passages(model), "terms array<int>"), "passages")
-    each = max(1.0, passages.count() / len(bench.items))
-    items = spark.createDataFrame([(x.tolist(), each) for x in bench.items], "terms array<int>, share double")
-    space = latent_space(passages.withColumn("share", F.lit(1.0)).unionByName(items), weights, rank)
-    lengths = np.array([len(x) for x in bench.items])
-    flat = np.concatenate(bench.items)
+    held = passages.agg(F.sum(F.size("terms"))).first()[0] or 0
+    own = spark.createDataFrame([(x.tolist(), float(max(1.0, held * other**2 / n**2))) for x, n in zip(items, norms, strict=True)], "terms array<int>, share double")
+    space = latent_space(passages.withColumn("share", F.lit(1.0)).unionByName(own), weights, len(items) + extra)
     latent = rows_times(flat, lengths, weights, space)
-    norms = np.maximum(np.sqrt(np.add.reduceat(weights[flat] ** 2, np.cumsum(lengths) - lengths)), 1e-9)
-    found = spark.sparkContext.broadcast((bench.hashes, weights, other, space, latent, norms, bench.items, cosine, alone, with_answer))
-    hits = rows.mapInArrow(_search(found), f"rid long, doc_id {kinds[0]}, item int, common long, item_words long, cosine double, answer_found boolean, start_word long, end_word long")
-    names = spark.createDataFrame([(i, x) for i, x in enumerate(bench.ids)], f"item int, item_id {kinds[1]}")
-    return hits.join(names, "item").select(F.col("doc_id").alias(id_col), "item_id", "common", "item_words", "cosine", "answer_found", "start_word", "end_word")
+    search = spark.sparkContext.broadcast((hashes, weights, other, space, latent, norms, items, *limits))
+    hits = rows.mapInArrow(_search(search), f"rid long, doc_id {rows.schema['doc_id'].dataType.simpleString()}, item int, common long, item_words long, cosine double, answer_found boolean, start_word long, end_word long")
+    return hits.withColumn("item", F.col("item") + F.lit(begin))
 
 
 def op4_decontamination(spark, sf_dir: str) -> DataFrame:
