@@ -162,7 +162,7 @@ def test_repeated_passages_equal_windows(spark, docs):
 def test_repeated_passages_odd_rows(odd, none):
     assert {r.doc_id for r in substring_dedup.repeated_passages(odd).collect()} <= {6, 7, 8}
     assert substring_dedup.repeated_passages(none).count() == 0
-    assert substring_dedup.bands_for(0.99, 0.8) == 3
+    assert substring_dedup.bands_for(0.95, 0.8) == 4
 
 
 def test_leaks_and_paraphrases(spark):
