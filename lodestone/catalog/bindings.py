@@ -49,7 +49,7 @@ SELECT 'S:' || l_suppkey AS entity, 'L:' || p_brand || '/' || p_type AS term,
        WHEN l_linenumber = 5 THEN 'HP:0040282' ELSE '' END AS frequency,
   l_returnflag AS onset,
   'curator[' || substr(CAST(l_shipdate AS VARCHAR(30)), 1, 10) || ']' AS biocuration
-FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 49
+FROM lineitem JOIN part ON l_partkey = p_partkey
 """)
 view("v_ph", """
 SELECT entity, term, min(reference) AS reference, max(CASE WHEN reference LIKE 'PMID:%' THEN 1 ELSE 0 END) AS has_paper,
@@ -71,7 +71,7 @@ SELECT 'G:' || l_partkey AS gene, 'S:' || l_suppkey AS entity,
   CASE WHEN l_linestatus = 'O' THEN '' WHEN l_linenumber <= 5 THEN 'Assessed' ELSE 'Not yet assessed' END AS status,
   CASE WHEN l_linestatus = 'O' THEN 'OMIM:' || l_orderkey ELSE 'ORPHA:' || l_orderkey END AS xref,
   CASE WHEN l_linestatus = 'O' THEN '' ELSE 'PMID:' || l_orderkey END AS paper
-FROM lineitem WHERE l_quantity >= 46
+FROM lineitem
 """)
 view("v_gd", """
 SELECT gene, entity,
@@ -108,7 +108,7 @@ view("v_men_raw", """
 SELECT 'PMID:' || l_orderkey AS paper, 'S:' || l_suppkey AS entity,
   CASE WHEN l_linestatus = 'O' THEN 'MeSH' ELSE 'PubTator' END AS system,
   (l_linestatus = 'O' AND l_discount >= 0.05) AS major, CASE WHEN l_linestatus = 'O' THEN 0 ELSE l_linenumber END AS n
-FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 40
+FROM lineitem WHERE l_returnflag = 'R'
 """)
 view("v_men", """
 SELECT paper, entity, CASE WHEN min(system) = max(system) THEN min(system) ELSE 'MeSH+PubTator' END AS source,
@@ -120,7 +120,7 @@ FROM v_men_raw GROUP BY paper, entity
 """)
 view("v_gmen_raw", """
 SELECT 'PMID:' || l_orderkey AS paper, l_partkey || ';' || l_suppkey AS ids, 'span ' || l_linenumber AS name,
-  l_linenumber AS n FROM lineitem WHERE l_returnflag = 'N' AND l_quantity >= 47
+  l_linenumber AS n FROM lineitem WHERE l_returnflag = 'N'
 """)
 view("v_person", """
 SELECT 'A:' || c_custkey AS id, c_name AS label, n_name AS country, c_mktsegment || ' institute of ' || n_name AS affiliation,
@@ -147,7 +147,7 @@ FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey =
 # --- trials (orders with accepted returns), officials, sponsors, organisations ---------------------------------------
 view("v_study", """
 SELECT DISTINCT 'NCT' || l_orderkey AS trial, 'S:' || l_suppkey AS entity FROM lineitem
-WHERE l_returnflag = 'A' AND l_quantity >= 40
+WHERE l_returnflag = 'A'
 """)
 view("v_trial", """
 SELECT 'NCT' || o_orderkey AS id, o_orderkey AS num, o_custkey AS cust,
@@ -164,14 +164,14 @@ SELECT 'NCT' || o_orderkey AS id, o_orderkey AS num, o_custkey AS cust,
   substr(CAST(o_orderdate AS VARCHAR(30)), 1, 10) AS start, nc.n_conditions
 FROM orders JOIN (SELECT l_orderkey, count(DISTINCT l_partkey) AS n_conditions FROM lineitem GROUP BY l_orderkey) nc
   ON o_orderkey = nc.l_orderkey
-WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'A' AND l_quantity >= 40)
+WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'A')
 """)
 view("v_trial_kind", """
 SELECT v_trial.*, CASE WHEN registry_flag OR title LIKE '%registry%' THEN 'registry'
   WHEN lower(title) LIKE '%natural history%' OR (study_type = 'OBSERVATIONAL' AND model = 'COHORT') THEN 'natural_history'
   WHEN study_type = 'OBSERVATIONAL' THEN 'observational' ELSE 'trial' END AS kind FROM v_trial
 """)
-view("v_cite", "SELECT v_trial.id AS trial, v_paper.id AS paper FROM v_trial JOIN v_paper ON v_trial.num = v_paper.num WHERE v_paper.year >= 1998")
+view("v_cite", "SELECT v_trial.id AS trial, v_paper.id AS paper FROM v_trial JOIN v_paper ON v_trial.num = v_paper.num")
 view("v_inv", "SELECT 'A:' || cust AS person, id AS trial FROM v_trial")
 view("v_org", """
 SELECT 'ORG:' || c_mktsegment || '/' || c_nationkey AS id, c_mktsegment || ' Foundation ' || c_nationkey AS label,
@@ -199,7 +199,7 @@ FROM v_project_raw GROUP BY core
 view("v_fund_raw", """
 SELECT 'GRANT:C' || o_custkey AS grant_id, 'S:' || l_suppkey AS entity,
   CASE WHEN l_linenumber <= 2 THEN 'title' WHEN l_linenumber <= 4 THEN 'abstract' WHEN l_linenumber <= 6 THEN 'terms' ELSE 'gene symbol' END AS field
-FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_discount >= 0.09 AND l_quantity >= 45
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 """)
 view("v_fund", """
 SELECT grant_id, entity, max(CASE field WHEN 'title' THEN 0.9 WHEN 'abstract' THEN 0.7 ELSE 0.6 END) AS confidence,

@@ -374,7 +374,7 @@ def _(t):
     return U.top_variants(t("v_variant_raw"), 3).select("gene", "variation", "stars", "nsub", "rank")
 
 
-view("v_omim_map", "SELECT DISTINCT 'OMIM:' || l_orderkey AS xref, 'S:' || l_suppkey AS entity FROM lineitem WHERE l_quantity >= 48 UNION SELECT 'ORPHA:' || s_suppkey, 'S:' || s_suppkey FROM supplier WHERE s_acctbal > 5000")
+view("v_omim_map", "SELECT DISTINCT 'OMIM:' || l_orderkey AS xref, 'S:' || l_suppkey AS entity FROM lineitem UNION SELECT 'ORPHA:' || s_suppkey, 'S:' || s_suppkey FROM supplier WHERE s_acctbal > 5000")
 
 
 @query("variant_edges", """
@@ -388,7 +388,7 @@ def _(t):
 
 
 view("v_epi", """SELECT 'ORPHA:' || p_partkey AS code, CASE WHEN p_size < 20 THEN NULL ELSE '1-9 / ' || p_size END AS prevalence, p_brand AS onset, p_type AS inheritance, p_size, p_name FROM part""")
-view("v_epi_map", "SELECT DISTINCT 'ORPHA:' || l_partkey AS xref, 'S:' || l_suppkey AS entity FROM lineitem WHERE l_quantity >= 48")
+view("v_epi_map", "SELECT DISTINCT 'ORPHA:' || l_partkey AS xref, 'S:' || l_suppkey AS entity FROM lineitem")
 
 
 @query("attach_epidemiology", """

@@ -184,8 +184,10 @@ def _(t):
     return ego(t)[0]
 
 
-@query("ego_graph_edges", """SELECT seed, edge_id, pos FROM (SELECT a.seed, edge_id, row_number() OVER (PARTITION BY a.seed ORDER BY CASE WHEN e.src = a.seed OR e.dst = a.seed THEN 0 ELSE 1 END, edge_id) AS pos
-FROM v_edge e JOIN x_ego a ON a.id = e.src JOIN x_ego b ON b.id = e.dst AND b.seed = a.seed) u WHERE pos <= 240""")
+@query("ego_graph_edges", """SELECT seed, edge_id, row_number() OVER (PARTITION BY seed ORDER BY CASE WHEN n > 240 THEN far ELSE 0 END, edge_id) AS pos
+FROM (SELECT seed, edge_id, far, count(*) OVER (PARTITION BY seed) AS n, row_number() OVER (PARTITION BY seed, far ORDER BY edge_id) AS place
+  FROM (SELECT a.seed, edge_id, CASE WHEN e.src = a.seed OR e.dst = a.seed THEN 0 ELSE 1 END AS far
+    FROM v_edge e JOIN x_ego a ON a.id = e.src JOIN x_ego b ON b.id = e.dst AND b.seed = a.seed) i) u WHERE n <= 240 OR far = 0 OR place <= 200""")
 def _(t):
     return ego(t)[1]
 

@@ -157,7 +157,7 @@ def _(t):
 
 
 # --- scope by entity -----------------------------------------------------------------------------------------------------------
-view("v_few_mentions", """SELECT DISTINCT 'PMID:' || l_orderkey AS doc_id, 'S:' || l_suppkey AS entity FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'O' AND l_quantity >= 48 AND l_discount >= 0.06""")
+view("v_few_mentions", """SELECT DISTINCT 'PMID:' || l_orderkey AS doc_id, 'S:' || l_suppkey AS entity FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'O'""")
 view("v_sdoc", "SELECT 'PMID:' || l_orderkey AS doc_id, 'Note on ' || min(s_name) AS title, 'Body naming ' || max(s_name) || ' again' AS text FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY l_orderkey")
 view("v_sname", "SELECT 'S:' || s_suppkey AS id, s_name AS name FROM supplier WHERE s_acctbal > 0 UNION ALL SELECT 'N:' || n_nationkey, n_name FROM nation UNION ALL SELECT 'S:' || s_suppkey, 'body naming supplier 00000' FROM supplier WHERE s_acctbal < -900")
 view("x_sg", "SELECT DISTINCT c.ancestor AS id, m.doc_id FROM x_clo c JOIN v_few_mentions m ON m.entity = c.id WHERE dist <= 4")

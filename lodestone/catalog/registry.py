@@ -82,7 +82,7 @@ class Tables:
     def sql(self, text: str) -> DataFrame:
         """Bound views are plain SQL over the given tables; both engines read the same text."""
         names = needed(text)
-        body = text + "".join(VIEWS[n] for n in names)
+        body = "\n".join([text, *(VIEWS[n] for n in names)])
         used = [b for b in BASE if re.search(rf"\b{b}\b", body)]
         ctes = [f"{b} AS (SELECT * FROM parquet.`{self.folder}/{b}.parquet`)" for b in used]
         ctes += [f"{n} AS ({VIEWS[n]})" for n in names]

@@ -115,7 +115,7 @@ NOT_AVAILABLE = "ANSWER_NOT_AVAILABLE"
 # --- fixed values: everyday words that need no support in the facts ---
 COMMON_WORDS = (
     "the this that these those and for with from have has had are was were been will would should could may might can not "
-    "but also than then they them their there here what which who whom whose how when where while about into over under "
+    "but also than then they them their there here what which who whom whose when where while about into over under "
     "more most some any all each both either other another such same very much many few less least only just still even "
     "yes lead research leads family families doctor doctors disease diseases symptom symptoms patient patients group groups "
     "genes gene study studies paper papers care team week contact share ask check treatment therapy medical advice database "

@@ -3,7 +3,7 @@ the ancestor's side: every id with itself (dist 0) and its subtypes."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.common import cut, min_row, ordered_list, top_n
@@ -141,7 +141,8 @@ def ego_graph(seeds: DataFrame, edges: DataFrame, nodes: DataFrame, depth: int =
     `edges(edge_id, src, dst, rel, confidence)`, `nodes(id, type, score)` with the node's own rank score (null where the
     edge confidence ranks). Per hop, candidates are ordered by type priority, score and id; at most
     max(4, (max_nodes - 1) / 4) of a type come in, then the rest fills up in the same order. Term hierarchy edges rank
-    last. Of the edges inside, those at the seed come first, at most 6 * max_nodes in all.
+    last. Edges inside come in the order of their ids; of more than 6 * max_nodes, those at the seed all stay and come first, then
+    5 * max_nodes others.
     """
     share = max(4, (max_nodes - 1) // 4)
     link = edges.select(F.col("src").alias("node"), F.col("dst").alias("id"), "rel", "confidence").union(
@@ -167,8 +168,12 @@ def ego_graph(seeds: DataFrame, edges: DataFrame, nodes: DataFrame, depth: int =
     inside = edges.select("edge_id", F.col("src").alias("id"), "dst").join(chosen.select("seed", "id"), "id").select(
         "seed", "edge_id", F.col("id").alias("src"), F.col("dst").alias("id")).join(chosen.select("seed", "id"), ["seed", "id"])
     at_seed = (F.col("src") == F.col("seed")) | (F.col("id") == F.col("seed"))
-    kept = top_n(inside.withColumn("far", F.when(at_seed, 0).otherwise(1)), "seed", ["far", "edge_id"], 6 * max_nodes, "pos")
-    return chosen, kept.select("seed", "edge_id", "pos")
+    mine = Window.partitionBy("seed")
+    ranked = inside.withColumn("far", F.when(at_seed, 0).otherwise(1)).withColumn("crowded", F.count("*").over(mine) > 6 * max_nodes).withColumn(
+        "place", F.row_number().over(Window.partitionBy("seed", "far").orderBy("edge_id")))
+    kept = ranked.where(~F.col("crowded") | (F.col("far") == 0) | (F.col("place") <= 5 * max_nodes))
+    order = mine.orderBy(F.when(F.col("crowded"), F.col("far")).otherwise(0), "edge_id")
+    return chosen, kept.select("seed", "edge_id", F.row_number().over(order).alias("pos"))
 
 
 def grants_for(ids: DataFrame, family: DataFrame, funds: DataFrame, grants: DataFrame) -> DataFrame:

@@ -248,17 +248,16 @@ def refusal_accuracy(rows: DataFrame, floor: float) -> DataFrame:
                     F.count_if(off).alias("off_topic"), F.min(F.when(~off, F.col("top_score"))).alias("in_domain_min"), F.max(F.when(off, F.col("top_score"))).alias("off_topic_max"))
 
 
-def label_by_title(queries: DataFrame, docs: DataFrame, max_patterns: int = 2000) -> DataFrame:
+def label_by_title(queries: DataFrame, docs: DataFrame) -> DataFrame:
     """`(query_id, doc_id)`: documents whose title matches every pattern of a query. `queries(query_id, pattern)`.
 
-    The distinct patterns, a bounded list, are tested in one pass over the documents; matches then meet the queries by pattern.
+    A stated set of queries against all documents: every distinct pattern is tested on every distinct title, in a join by condition,
+    and matches then meet the queries by pattern and the documents by title.
     """
-    patterns = [r.pattern for r in queries.select("pattern").distinct().limit(max_patterns + 1).collect()]
-    if len(patterns) > max_patterns:
-        raise ValueError(f"more than {max_patterns} patterns")
-    tests = F.array(*[F.when(F.col("title").rlike("(?i)" + p), F.lit(p)) for p in sorted(patterns)])
-    found = docs.select("doc_id", F.explode(F.filter(tests, lambda p: p.isNotNull())).alias("pattern"))
     wanted = queries.select("query_id", "pattern").distinct()
+    titles = docs.select("title").distinct()
+    hits = titles.join(wanted.select("pattern").distinct(), F.expr("title rlike concat('(?i)', pattern)"))
+    found = hits.join(docs.select("doc_id", "title"), "title").select("doc_id", "pattern")
     need = wanted.groupBy("query_id").agg(F.count("*").alias("need"))
     got = found.join(wanted, "pattern").groupBy("query_id", "doc_id").agg(F.count("*").alias("got"))
     return got.join(need, "query_id").where("got = need").select("query_id", "doc_id")

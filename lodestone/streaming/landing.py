@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,10 +9,10 @@ from lodestone.common import min_row
 
 
 def _landed(spark: SparkSession, sink: str, schema) -> DataFrame:
-    try:
+    path = spark._jvm.org.apache.hadoop.fs.Path(sink)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return spark.read.schema(schema).parquet(sink)
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
+    return spark.createDataFrame([], schema)
 
 
 def ingest_batches(spark: SparkSession, source: str, sink: str, checkpoint: str, schema: str, keys: list[str], batch: str, tie: str,
