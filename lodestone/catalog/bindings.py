@@ -24,9 +24,9 @@ UNION ALL SELECT 'R:' || r_regionkey, 'E:ROOT' FROM region
 view("v_root", """SELECT id FROM v_entity WHERE id = 'E:ROOT' OR id IN (SELECT parent FROM v_hier WHERE child LIKE 'N:%')""")
 
 # --- term DAG: leaf brand|type with two parents ----------------------------------------------------------------------
-view("v_leaf", "SELECT DISTINCT 'L:' || p_brand || '/' || p_type AS id, p_brand, p_type FROM part")
+view("v_leaf", "SELECT DISTINCT 'L:' || p_brand || '/' || p_type || '/' || p_size AS id, p_brand, p_type, p_size FROM part")
 view("v_term", """
-SELECT id, p_type || ' of ' || p_brand AS label FROM v_leaf
+SELECT id, p_type || ' of ' || p_brand || ' in size ' || p_size AS label FROM v_leaf
 UNION ALL SELECT DISTINCT 'B:' || p_brand, p_brand FROM part
 UNION ALL SELECT DISTINCT 'Y:' || p_type, p_type FROM part
 UNION ALL SELECT DISTINCT 'T:ROOT', 'All terms' FROM part
@@ -40,7 +40,7 @@ UNION ALL SELECT DISTINCT 'Y:' || p_type, 'T:ROOT' FROM part
 
 # --- annotations of entities with terms, some negated ----------------------------------------------------------------
 view("v_ann_raw", """
-SELECT 'S:' || l_suppkey AS entity, 'L:' || p_brand || '/' || p_type AS term,
+SELECT 'S:' || l_suppkey AS entity, 'L:' || p_brand || '/' || p_type || '/' || p_size AS term,
   CASE WHEN l_returnflag = 'A' THEN 'NOT' ELSE '' END AS qualifier,
   CASE WHEN l_linenumber <= 4 THEN 'PMID:' || l_orderkey ELSE 'OMIM:' || l_orderkey END AS reference,
   CASE WHEN l_linestatus = 'O' THEN 'PCS' WHEN l_returnflag = 'R' THEN 'TAS' ELSE 'IEA' END AS evidence,
