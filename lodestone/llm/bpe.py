@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import struct
 import unicodedata
 from dataclasses import dataclass, field
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.base import table, text_or_empty
 
 #: Characters of a text that are taken at once, cut before white space, and encoded words a task remembers.
-PART, REMEMBERED = 1 << 19, 300_000
+PART, REMEMBERED = 1 << 19, 800_000
 LAST = np.int64(1) << 40
 #: A rank after all others, and the letter that marks the end of a word for the matcher.
 NONE, MARK = (1 << 60, -1), "\x01"
@@ -231,7 +232,7 @@ class Encoder:
         in_letters = [w.encode().decode("latin-1").translate(self.letters) for w in new]
         strings = self.v.strings
         for word, tokens in zip(new, self.encode(in_letters), strict=True):
-            self.known[word] = (np.array(tokens, "<u4").tobytes(), " ".join([strings[t] for t in tokens]), len(tokens))
+            self.known[word] = (struct.pack(f"<{len(tokens)}I", *tokens), " ".join([strings[t] for t in tokens]), len(tokens))
 
     def parts(self, text: str):
         """Word lists of a text, and special tokens between them."""
