@@ -159,7 +159,9 @@ def _full_sets(width: int):
 
 
 def lists_of(reps: DataFrame, x: int, percent: int = PERCENT) -> DataFrame:
-    """(key, rep, n): the inverted lists of large sets and the pair lists of small ones, with two members or more possible.
+    """(key, rid, n, front): the inverted lists of large sets and the pair lists of small ones.
+
+    Two similar sets meet in a list in which the smaller one is at its front.
 
     Tokens are shuffled by as many leading bits as keep chance meetings below one in 256; equal tokens always meet.
     """
@@ -182,11 +184,19 @@ def lists_of(reps: DataFrame, x: int, percent: int = PERCENT) -> DataFrame:
     mine = Window.partitionBy("rid", "small")
     room = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)).cast("long") + 1 + F.col("small")
     ranked = shared.withColumn("known", counted).withColumn("place", F.row_number().over(mine.orderBy(F.col("known").desc(), "df", "key"))).withColumn("held", F.count(F.when(F.col("known"), 1)).over(mine))
-    heads = cut(ranked.filter(~F.col("known") | (F.col("place") <= room - (F.col("region") - F.col("held")))).select("rid", "n", "small", "key", "place"), "heads")
-    single = heads.filter("small = 0").select("key", "rid", "n")
-    grouped = heads.filter("small = 1").groupBy("rid", "n").agg(F.array_sort(F.collect_list("key")).alias("keys"))
-    pairs = grouped.select("rid", "n", F.explode(F.expr("flatten(transform(keys, (a, i) -> transform(slice(keys, i + 2, size(keys)), b -> xxhash64(a, b))))")).alias("key"))
-    return single.unionByName(pairs.select("key", "rid", "n"))
+    # with a partner that is no smaller a set shares a token of an even shorter head
+    front = F.col("n") - F.ceil(F.col("n") * (2 * percent) / F.lit(100 + percent)).cast("long") + 1 + F.col("small")
+    lone = F.col("region") - F.col("held")
+    counts_from = F.col("place") + lone
+    heads = ranked.withColumn("at", F.when(F.col("known"), counts_from).otherwise(0)).filter(F.col("at") <= room)
+    # outside the region the order is by hash alone, after all tokens of the region
+    heads = heads.withColumn("front", F.when(F.col("known"), F.col("at") <= front).otherwise(F.col("region") < front))
+    heads = cut(heads.select("rid", "n", "small", "key", "front"), "heads")
+    single = heads.filter("small = 0").select("key", "rid", "n", "front")
+    grouped = heads.filter("small = 1").groupBy("rid", "n").agg(F.array_sort(F.collect_list(F.struct("key", "front"))).alias("keys"))
+    both = "flatten(transform(keys, (a, i) -> transform(slice(keys, i + 2, size(keys)), b -> struct(xxhash64(a.key, b.key) AS key, a.front AND b.front AS front))))"
+    pairs = grouped.select("rid", "n", F.explode(F.expr(both)).alias("p")).select("p.key", "rid", "n", "p.front")
+    return single.unionByName(pairs)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -217,10 +227,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # what is left: members of one list that the first links leave in different components
     labelled = cut(lists.join(joined.withColumnRenamed("node", "rid"), "rid", "left").withColumn("component", F.coalesce("component", "rid")), "labelled")
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
+    mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("front").alias("any")).filter("lo < hi AND any").select("key")
     rest = labelled.join(mixed, "key", "left_semi")
     other = rest.select("key", F.col("rid").alias("b"), F.col("n").alias("m"), F.col("component").alias("there"))
-    across = rest.join(other, "key").filter((F.col("rid") < F.col("b")) & (F.col("component") != F.col("there")) & alike(F.col("n"), F.col("m")))
+    ordered = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("rid") < F.col("b")))
+    across = rest.filter("front").join(other, "key").filter(ordered & (F.col("component") != F.col("there")) & alike(F.col("n"), F.col("m")))
     more = across.select(F.col("rid").alias("a"), "b").distinct().join(pairs, ["a", "b"], "left_anti").join(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
     late = cut(_linked(more, full, percent), "links")
     if not late.isEmpty():
