@@ -31,7 +31,7 @@ WIDE = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?:\x20?[\[({]at[\])}]\x20?[A-Za-z0-9-]{1,63}(?:(?:\.|\x20?[\[({]dot[\])}]\x20?|\x20dot\x20)[A-Za-z0-9-]{1,63}){1,4}|\x20at\x20[A-Za-z0-9-]{1,63}(?:\x20dot\x20[A-Za-z0-9-]{1,63}){1,4})(?![A-Za-z0-9-])",
     "ip": r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])",
     "card": r"(?<![0-9._])[0-9]{4}(?:[._][0-9]{4}){3}(?![0-9._])",
-    "phone": r"(?<![0-9A-Za-z+().-]|[0-9A-Za-z+().-]\x20)(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z-]|[.\x20][0-9])",
+    "phone": r"(?<![0-9A-Za-z+().-]|[0-9+().-]\x20)(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z-]|[.\x20][0-9])",
 }
 #: Words that speak for, or against, personal data when they stand just before it.
 FOR = {
