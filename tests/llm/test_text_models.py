@@ -75,6 +75,17 @@ def test_lm_scores_equal_slow_version(spark, docs, nodes):
             assert r.base_score == pytest.approx(base, rel=1e-9) and r.score == pytest.approx(score, rel=1e-4)
 
 
+@pytest.mark.parametrize("sent", [1, 50, 5000])
+def test_lm_scores_keep_rare_nodes(spark, docs, sent):
+    # whatever part of the trie is sent to the tasks, every node counts
+    small = docs.select("doc_id", F.col("text").substr(1, 300).alias("text")).filter("doc_id < 40").unionByName(spark.createDataFrame([(900, None), (901, ""), (902, "日本 \x00 ÿ")], "doc_id long, text string"))
+    want, _ = slow_scores([tuple(r) for r in small.collect()], 1 << 40)
+    found = lm_scoring.lm_scores(small.withColumn("held_out", remainder(5) == 1), frequent_nodes=sent).collect()
+    assert len(found) == len(want)
+    for r in found:
+        assert r.score == pytest.approx(want[r.doc_id][3], rel=1e-4)
+
+
 def test_lm_odd_rows(odd, none):
     frame = odd.withColumn("held_out", F.lit(False))
     assert lm_scoring.lm_scores(frame).count() == odd.count()
