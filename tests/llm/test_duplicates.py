@@ -159,6 +159,23 @@ def test_repeated_passages_equal_windows(spark, docs):
     assert must and must <= found
 
 
+def test_long_segments_are_compared_as_a_whole(spark):
+    rng = random.Random(8)
+    fresh = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    # every twelfth word differs for 360 words, then 150 words are equal, then 360 edited ones, then 150 equal ones
+    edited = lambda w: [x if i % 12 else f"new{rng.randrange(10**9)}" for i, x in enumerate(w)]
+    rough, equal, gap, late = fresh(360), fresh(150), fresh(360), fresh(150)
+    rows = [(0, [*fresh(70), *rough, *equal, *gap, *late, *fresh(70)]), (1, [*fresh(90), *edited(rough), *equal, *edited(gap), *late, *fresh(80)])]
+    found = substring_dedup.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string"), recall=0.99999).collect()
+    for i, w in rows:
+        covered = {p for r in found if r.doc_id == i for p in range(r.start_word, r.end_word)}
+        for part in (equal, late):
+            at = w.index(part[0])
+            assert set(range(at, at + 150)) <= covered
+        # text that differs is not part of a passage
+        assert not set(range(w.index(gap[1]) + 100, w.index(gap[1]) + 250)) & covered
+
+
 def test_repeated_passages_odd_rows(odd, none):
     assert {r.doc_id for r in substring_dedup.repeated_passages(odd).collect()} <= {6, 7, 8}
     assert substring_dedup.repeated_passages(none).count() == 0
