@@ -252,6 +252,14 @@ def test_pipeline_stages(spark, odd):
     assert sorted(left, key=str) == sorted([0, 2, 3, 4, 6, 7, 9, 10, 11, None], key=str)
 
 
+def test_pipeline_near_copies_of_five_words(spark):
+    base = [f"w{i}" for i in range(100)]
+    texts = [base, [*base, *(f"x{i}" for i in range(20))], [f"y{i}" for i in range(100)]]
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    # 96 of 116 shingles of five words, 97 of 117 of four
+    assert sorted(r.doc_id for r in corpus_pipeline.stage_near(spark, docs, "").collect()) == [0, 2]
+
+
 def test_pipeline_runs(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 100 and {"doc_id", "n_tokens", "ids", "decoded_sha256"} <= set(out.columns)
