@@ -228,11 +228,10 @@ FROM lineitem
 """)
 view("v_var", """
 SELECT gene, variation, 'VAR:' || gene || ':' || variation AS id, entity, stars, nsub FROM (
-  SELECT gene, variation, entity, stars, nsub, row_number() OVER (PARTITION BY gene ORDER BY stars DESC, nsub DESC, variation) AS rn FROM (
     SELECT 'G:' || l_partkey AS gene, CAST(l_orderkey AS VARCHAR(20)) || '-' || l_linenumber AS variation, min('S:' || l_suppkey) AS entity,
       max(CASE WHEN l_linenumber = 1 THEN 4 WHEN l_linenumber = 2 THEN 3 WHEN l_linenumber <= 4 THEN 2 ELSE 1 END) AS stars,
       max(l_quantity) AS nsub
-    FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber <= 6 GROUP BY 1, 2) u) r WHERE rn <= 5
+    FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber <= 6 GROUP BY 1, 2) r
 """)
 
 # --- nodes and edges --------------------------------------------------------------------------------------------------

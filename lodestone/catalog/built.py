@@ -71,11 +71,15 @@ def parts(t: Tables) -> DataFrame:
 
 
 def scores(t: Tables) -> DataFrame:
-    return t.built("scores", lambda: S.combine_scores(parts(t), entity_closure(t), FACTOR * MIN_SCORE))
+    return S.combine_scores(parts(t), entity_closure(t), FACTOR * MIN_SCORE)
+
+
+def best(t: Tables) -> DataFrame:
+    return S.best_pairs(parts(t), entity_closure(t), t("v_entity"), TOP_K, MIN_SCORE, 3, FACTOR)
 
 
 def top(t: Tables) -> DataFrame:
-    return t.built("top_pairs", lambda: S.top_pairs(scores(t), t("v_entity"), TOP_K, MIN_SCORE, 3, FACTOR))
+    return t.built("top_pairs", lambda: best(t))
 
 
 def family(t: Tables) -> DataFrame:
@@ -95,8 +99,7 @@ UNION ALL SELECT id, id, 0 FROM v_term""")
 view("x_ic", """SELECT ancestor AS term, count(DISTINCT entity) AS n_entities,
   ln((SELECT count(DISTINCT entity) FROM v_ph) / count(DISTINCT entity)) AS ic
 FROM v_ph JOIN x_tclo ON term = id GROUP BY ancestor""")
-view("x_cand", """SELECT id FROM v_entity WHERE id NOT IN (SELECT id FROM v_root)
-  AND id NOT IN (SELECT ancestor FROM x_clo WHERE dist > 0 GROUP BY ancestor HAVING count(*) > 25)""")
+view("x_cand", """SELECT id FROM v_entity WHERE id NOT IN (SELECT id FROM v_root)""")
 view("x_scope", "SELECT id, ancestor, dist FROM x_clo WHERE ancestor IN (SELECT id FROM x_cand)")
 view("x_profile", """SELECT entity, term, edge_id, via FROM (
   SELECT c.ancestor AS entity, p.term, 'ph|' || p.entity || '|' || p.term AS edge_id, p.entity AS via,

@@ -192,9 +192,9 @@ def _(t):
 
 
 @query("pathway_edges", """SELECT gene, pathway, CAST(CASE WHEN evidence = 'TAS' THEN 0.9 ELSE 0.7 END AS DOUBLE) AS confidence, evidence, n_genes AS pathway_genes
-FROM v_pw_raw JOIN v_pathway ON id = pathway WHERE n_genes <= 8 AND gene IN (SELECT gene FROM v_gd)""")
+FROM v_pw_raw JOIN v_pathway ON id = pathway WHERE gene IN (SELECT gene FROM v_gd)""")
 def _(t):
-    return G.pathway_edges(t("v_pw_raw"), t("v_gd").select(F.col("gene").alias("id")).distinct(), 8)
+    return G.pathway_edges(t("v_pw_raw"), t("v_gd").select(F.col("gene").alias("id")).distinct())
 
 
 @query("mention_edges", """SELECT paper, entity, source, major, n, CAST(round(CASE WHEN source = 'MeSH+PubTator' THEN CASE WHEN major THEN 0.95 ELSE 0.9 END

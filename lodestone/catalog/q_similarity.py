@@ -73,12 +73,12 @@ def scored(df, *more):
 
 @query("combine_scores", f"SELECT {SCORED} FROM x_scores")
 def _(t):
-    return scored(S.combine_scores(B.parts(t), B.entity_closure(t), B.FACTOR * B.MIN_SCORE))
+    return scored(B.scores(t))
 
 
 @query("similarity_top_pairs", f"SELECT {SCORED}, cross_group, below_threshold FROM x_top")
 def _(t):
-    return scored(S.top_pairs(B.scores(t), t("v_entity"), B.TOP_K, B.MIN_SCORE, 3, B.FACTOR), "cross_group", "below_threshold")
+    return scored(B.best(t), "cross_group", "below_threshold")
 
 
 @query("shared_terms", """

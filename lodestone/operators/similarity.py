@@ -1,8 +1,8 @@
-"""All-pairs similarity of entities by shared attributes.
+"""Similarity of entities by shared attributes.
 
-Pairs are never formed from every pair of holders of an item. `similar_candidates` keeps, per entity, only the rarest
-part of its items that a pair above the wanted score must share (prefix filtering), so hub items drop out of the join
-exactly; what was left out is then looked up for the candidates only.
+Pairs are never formed from every pair of holders of an item; `topk` has the join over several measures. Between two tables
+`similar_candidates` keeps, per entity, only the rarest part of its items that a pair above the wanted score must share (prefix
+filtering), so hub items drop out of the join exactly; `score_pairs` then looks up the rest for the candidates.
 """
 
 from __future__ import annotations
@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.common import cut, min_row, ordered_list, top_n, union_all
+from lodestone.common import min_row, ordered_list, top_n, union_all
+from lodestone.operators.topk import similar
 
 SLACK = 1e-9
 
@@ -30,13 +31,16 @@ def information_content(annotations: DataFrame, closure: DataFrame) -> DataFrame
     return counts.select("term", "n_entities", F.log(total / F.col("n_entities")).alias("ic"))
 
 
-def similarity_candidates(entities: DataFrame, closure: DataFrame, roots: DataFrame, max_desc: int = 25) -> DataFrame:
-    """Entities that are no roots and have at most `max_desc` descendants."""
+def similarity_candidates(entities: DataFrame, closure: DataFrame, roots: DataFrame, max_desc: int | None = None) -> DataFrame:
+    """Entities that are no roots and, if `max_desc` is given, have at most so many descendants."""
+    inner = entities.select("id").join(roots.select("id"), "id", "left_anti")
+    if max_desc is None:
+        return inner
     broad = (
         closure.where("dist > 0").groupBy(F.col("ancestor").alias("id")).agg(F.count("*").alias("n"))
         .where(F.col("n") > max_desc).select("id")
     )
-    return entities.select("id").join(roots.select("id"), "id", "left_anti").join(broad, "id", "left_anti")
+    return inner.join(broad, "id", "left_anti")
 
 
 def rollup_profile(bags: DataFrame, closure: DataFrame, mode: str = "union") -> DataFrame:
@@ -168,35 +172,6 @@ def score_pairs(pairs: DataFrame, bags: DataFrame) -> DataFrame:
     return over.select("a", "b", "kind", _score().alias("score"), "common")
 
 
-def similar_scores(bags: DataFrame, min_score: float, exclude: DataFrame | None = None) -> DataFrame:
-    """`(a, b, kind, score)` of all pairs that can reach `min_score` in one kind, with their scores in every kind.
-
-    The join that finds candidates, on the kept parts of the bags, already sums up what the pairs share there. Only items
-    dropped on one side, the common ones of little weight, are then looked up for the candidates. `exclude(a, b)`: pairs
-    that do not count.
-    """
-    rows = cut(_graded(bags, min_score), "graded")
-    kept, dropped = rows.where("kept"), rows.where("not kept")
-
-    def side(df: DataFrame, end: str) -> DataFrame:
-        return df.select("kind", "item", F.col("entity").alias(end), F.col("w").alias(f"w{end}"))
-
-    size = rows.select("kind", "entity", "m", "n").distinct()
-    prod = F.col("wa") * F.col("wb")
-    part = side(kept, "a").join(side(kept, "b"), ["kind", "item"]).where("a < b").groupBy("a", "b", "kind").agg(
-        F.sum(prod).alias("dot"), F.count("*").alias("common"))
-    part = cut(part if exclude is None else part.join(exclude, ["a", "b"], "left_anti"), "kept-pairs")
-    fits = F.least("na", "nb") >= F.greatest("na", "nb") * _share(min_score)
-    sized = lambda df: df.join(size.toDF("kind", "a", "ma", "na"), ["kind", "a"]).join(size.toDF("kind", "b", "mb", "nb"), ["kind", "b"])
-    cand = cut(sized(part).where((F.col("kind") == "cosine") | fits).select("a", "b").distinct(), "candidates")
-    from_a = cand.join(side(dropped, "a"), "a").join(side(rows, "b"), ["kind", "item", "b"])
-    from_b = cand.join(side(dropped, "b"), "b").join(side(kept, "a"), ["kind", "item", "a"])
-    more = [df.groupBy("a", "b", "kind").agg(F.sum(prod).alias("dot"), F.count("*").alias("common")) for df in (from_a, from_b)]
-    total = union_all([part.join(cand, ["a", "b"], "left_semi"), *more]).groupBy("a", "b", "kind").agg(
-        F.sum("dot").alias("dot"), F.sum("common").alias("common"))
-    return sized(total).select("a", "b", "kind", _score().alias("score"))
-
-
 def _score() -> Column:
     return (
         F.when(F.col("kind") == "cosine", F.col("dot") / F.sqrt(F.col("ma") * F.col("mb")))
@@ -205,49 +180,51 @@ def _score() -> Column:
     )
 
 
-def similar_pairs(bags: DataFrame, min_score: float) -> DataFrame:
-    """`(a, b, kind, score)` with a < b: every pair whose score reaches `min_score`."""
-    return similar_scores(bags, min_score).where(F.col("score") >= min_score)
+def single(bags: DataFrame, kind: str, min_score: float) -> DataFrame:
+    found = similar(tagged(bags, kind), {kind: 1.0}, min_score)
+    return found.where(F.col(f"s_{kind}") >= min_score).select("a", "b", F.col(f"s_{kind}").alias("score"))
 
 
 def weighted_cosine_pairs(propagated: DataFrame, min_score: float) -> DataFrame:
     """`(a, b, score)`: cosine of propagated term sets, each term weighing its information content."""
-    bags = propagated.select("entity", F.col("term").alias("item"), F.col("ic").alias("w"))
-    return similar_pairs(tagged(bags, "cosine"), min_score).select("a", "b", "score")
+    return single(propagated.select("entity", F.col("term").alias("item"), F.col("ic").alias("w")), "cosine", min_score)
 
 
 def jaccard_pairs(bags: DataFrame, min_score: float) -> DataFrame:
     """`(a, b, score)`: Jaccard of item sets."""
-    return similar_pairs(tagged(unit_bags(bags), "jaccard"), min_score).select("a", "b", "score")
+    return single(unit_bags(bags), "jaccard", min_score)
 
 
 def ochiai_pairs(bags: DataFrame, min_score: float) -> DataFrame:
     """`(a, b, score)`: common items over the geometric mean of both sizes."""
-    return similar_pairs(tagged(unit_bags(bags), "ochiai"), min_score).select("a", "b", "score")
+    return single(unit_bags(bags), "ochiai", min_score)
 
 
-def combine_scores(bags: DataFrame, closure: DataFrame, floor: float,
-                   weights: tuple[float, float, float] = (0.5, 0.3, 0.2)) -> DataFrame:
+def _related(closure: DataFrame) -> DataFrame:
+    """Pairs of an entity and its ancestor, the smaller id first."""
+    return closure.where("dist > 0").select(F.least("id", "ancestor").alias("a"), F.greatest("id", "ancestor").alias("b")).distinct()
+
+
+def _named(found: DataFrame) -> DataFrame:
+    return found.select("a", "b", F.col("s_cosine").alias("s_term"), F.col("s_jaccard").alias("s_path"), F.col("s_ochiai").alias("s_lit"), "score")
+
+
+WEIGHTS = {"cosine": 0.5, "jaccard": 0.3, "ochiai": 0.2}
+
+
+def combine_scores(bags: DataFrame, closure: DataFrame, floor: float, weights: dict[str, float] | None = None) -> DataFrame:
     """`(a, b, s_term, s_path, s_lit, score)` of every pair whose weighted sum reaches `floor`.
 
-    The weights add up to one, so such a pair reaches `floor` in one component at least; the candidates of the three
-    components together are complete. Pairs of an entity with its own ancestor are left out.
+    Pairs of an entity with its own ancestor are left out.
     """
-    if sum(weights) > 1 + SLACK:
-        raise ValueError("weights must not add up to more than one")
-    related = closure.where("dist > 0").select("id", "ancestor")
-    related = related.toDF("a", "b").union(related.select("ancestor", "id"))
-    return weigh(similar_scores(bags, floor, related), weights).where(F.col("score") >= floor)
-
-
-def weigh(scores: DataFrame, weights: tuple[float, float, float] = (0.5, 0.3, 0.2)) -> DataFrame:
-    """The three components side by side and their weighted sum, from `scores(a, b, kind, score)`."""
-    names = {"cosine": "s_term", "jaccard": "s_path", "ochiai": "s_lit"}
-    out = scores.groupBy("a", "b").agg(*[
-        F.coalesce(F.max(F.when(F.col("kind") == k, F.col("score"))), F.lit(0.0)).alias(n) for k, n in names.items()])
-    wt, wp, wl = weights
-    # sums depend on the order of rows in their last digits; rounded, equal profiles tie whatever the partitioning
-    return out.withColumn("score", F.round(wt * F.col("s_term") + wp * F.col("s_path") + wl * F.col("s_lit"), 9))
+    return _named(similar(bags, weights or WEIGHTS, floor, _related(closure)))
+
+
+def best_pairs(bags: DataFrame, closure: DataFrame, groups: DataFrame, k: int = 10, min_score: float = 0.15, cross_k: int = 3,
+               factor: float = 0.75, weights: dict[str, float] | None = None) -> DataFrame:
+    """What `top_pairs` picks from all combined scores, without forming all pairs: floors rise with the k-th best score."""
+    found = similar(bags, weights or WEIGHTS, factor * min_score, _related(closure), groups, k, cross_k, min_score)
+    return top_pairs(_named(found), groups, k, min_score, cross_k, factor)
 
 
 def top_pairs(scores: DataFrame, groups: DataFrame, k: int = 10, min_score: float = 0.15, cross_k: int = 3,

@@ -5,6 +5,7 @@ import pytest
 
 from lodestone.operators import closure as C
 from lodestone.operators import similarity as S
+from lodestone.operators import topk as T
 
 
 def random_bags(seed, n=60, items=40):
@@ -49,8 +50,69 @@ def test_prefix_filter_loses_no_pair(frame, measure, floor):
     bags = random_bags(7)
     w = weight if measure == "cosine" else lambda i: 1.0
     df = frame([(measure, e, i, w(i)) for e, bag in bags.items() for i in bag], "kind string, entity string, item string, w double")
-    got = {(r.a, r.b): round(r.score, 9) for r in S.similar_pairs(df, floor).collect()}
-    assert got == brute(bags, measure, floor)
+    for hub in (1, 8, 1000):
+        found = T.similar(df, {measure: 1.0}, floor, hub=hub, block=7).where(f"s_{measure} >= {floor}")
+        got = {(r.a, r.b): round(r[f"s_{measure}"], 9) for r in found.collect()}
+        assert got == brute(bags, measure, floor)
+
+
+def brute_top(sets, groups, exclude, k, cross_k, floor, least):
+    """Best pairs of every entity from the full table of weighted sums."""
+    names, score = sorted({e for bags in sets.values() for e in bags}), {}
+    for x, a in enumerate(names):
+        for b in names[x + 1:]:
+            if (a, b) in exclude:
+                continue
+            total = 0.0
+            for kind, w in S.WEIGHTS.items():
+                p, q = sets[kind].get(a, set()), sets[kind].get(b, set())
+                both = p & q
+                if both:
+                    v = weight if kind == "cosine" else lambda i: 1.0
+                    total += w * {"cosine": sum(v(i) ** 2 for i in both) / math.sqrt(sum(v(i) ** 2 for i in p) * sum(v(i) ** 2 for i in q)),
+                                  "jaccard": len(both) / len(p | q), "ochiai": len(both) / math.sqrt(len(p) * len(q))}[kind]
+            score[a, b] = score[b, a] = round(total, 9)
+    out = set()
+    for a in names:
+        near = sorted((-score[a, b], b) for b in names if (a, b) in score)
+        out |= {(min(a, b), max(a, b)) for s, b in [x for x in near if -x[0] >= least][:k]}
+        out |= {(min(a, b), max(a, b)) for s, b in [x for x in near if -x[0] >= floor and groups[a] != groups[x[1]]][:cross_k]}
+    return {p: score[p] for p in out}
+
+
+@pytest.mark.parametrize("hub,block", [(2, 5), (10, 16), (40, 1000), (1000, 10)])
+def test_top_pairs_equal_brute_force(frame, hub, block):
+    sets = {"cosine": random_bags(1), "jaccard": random_bags(2, items=15), "ochiai": random_bags(3, n=40)}
+    names = sorted(random_bags(1))
+    groups = {e: f"g{i % 3}" for i, e in enumerate(names)}
+    rows = [(k, e, i, weight(i) if k == "cosine" else 1.0) for k, bags in sets.items() for e, bag in bags.items() for i in bag]
+    rows += [("cosine", "e01", "nothing", 0.0), ("cosine", None, "i1", 1.0), ("jaccard", "e01", None, 1.0)]
+    exclude = {("copy1", "copy2"), ("e00", "e01"), ("e03", "lone")}
+    found = T.similar(frame(rows, "kind string, entity string, item string, w double"), S.WEIGHTS, 0.1125, frame(sorted(exclude), "a string, b string"),
+                      frame(sorted(groups.items()), "id string, grp string"), 4, 2, 0.15, hub=hub, block=block)
+    assert found.groupBy("a", "b").count().where("count > 1").count() == 0
+    want = brute_top(sets, groups, exclude, 4, 2, 0.1125, 0.15)
+    top = S.top_pairs(found.select("a", "b", "score"), frame(sorted(groups.items()), "id string, grp string"), 4, 0.15, 2)
+    assert {(r.a, r.b): round(r.score, 8) for r in top.collect()} == {p: round(s, 8) for p, s in want.items()}
+
+
+def test_few_pairs_are_scored_with_a_hub_in_every_bag(frame):
+    """A thousand bags share one item of little weight; besides, groups of five share what counts."""
+    rows = [("cosine", f"e{i:04d}", "hub", 0.5) for i in range(1000)] + [("cosine", f"e{i:04d}", f"own{i // 5}", 3.0) for i in range(1000)]
+    df, counts = frame(rows, "kind string, entity string, item string, w double"), {}
+    groups = frame([(f"e{i:04d}", "g") for i in range(1000)], "id string, grp string")
+    found = T.similar(df, {"cosine": 1.0}, 0.3, None, groups, 4, counts=counts)
+    assert found.count() == 2000 and counts == {"light": 2000, "scored": 2000, "blocks": 0}
+    # where hubs make up the bags, blocks meet, and hand on the best of each entity only
+    dense = df.unionByName(frame([("jaccard", f"e{i:04d}", f"h{j}", 1.0) for i in range(1000) for j in range(i % 4)], df.schema))
+    found = T.similar(dense, S.WEIGHTS, 0.1, None, groups, 4, hub=64, block=100, counts=counts)
+    assert 0 < counts["blocks"] and counts["light"] == 2000 and found.count() < 60_000
+
+
+def test_no_bags(frame):
+    none = frame([], "kind string, entity string, item string, w double")
+    assert T.similar(none, S.WEIGHTS, 0.1).count() == 0
+    assert T.similar(none, S.WEIGHTS, 0.1, None, frame([], "id string, grp string"), 3).count() == 0
 
 
 def test_hub_item_leaves_the_join(frame):
