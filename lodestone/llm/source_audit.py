@@ -29,35 +29,26 @@ TERMS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else
 #: Bytes of the shortest prefixes; every level doubles it.
 FIRST = 2
 #: Entries a task holds before it hands its counts on.
-HELD = 400_000
+HELD = 1_000_000
 #: Bytes of prefixes that may be sent to every task; beyond, prefixes are joined by a shuffle.
 SENT = 32 << 20
 #: Parts in a whole: shares are counted in these.
 WHOLE = 1_000_000_000
 
-_SCHEMA = pa.schema([("level", pa.int32()), ("lang", pa.string()), ("source", pa.string()), ("term", pa.binary()), ("done", pa.bool_()), ("n", pa.int64())])
-_COLUMNS = "level int, lang string, source string, term binary, done boolean, n long"
-
-
-def _rows(level: int, lang: str, source: str | None, done: bool, counts: Counter) -> Iterator[pa.RecordBatch]:
-    items = list(counts.items())
-    for at in range(0, len(items), 1 << 16):
-        part = items[at : at + (1 << 16)]
-        k = len(part)
-        columns = [[level] * k, [lang] * k, [source] * k, [t for t, _ in part], [done] * k, [n for _, n in part]]
-        yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, _SCHEMA.types, strict=True)], schema=_SCHEMA)
+_SCHEMA = pa.schema([("level", pa.int32()), ("lang", pa.string()), ("term", pa.binary()), ("done", pa.bool_()), ("n", pa.int64()), ("groups", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))])
+_COLUMNS = "level int, lang string, term binary, done boolean, n long, groups array<long>, counts array<long>"
 
 
 class _Tally:
-    """Counts of a task: documents by (level, complete or not, language) and prefix, occurrences by group and term."""
+    """Counts of a task: documents by (level, complete or not, language) and prefix, occurrences by (language, group) and term."""
 
     def __init__(self, first: int):
         self.first, self.size = first, 0
         self.docs: dict[tuple[int, bool, str], Counter] = {}
-        self.occurrences: dict[tuple[str, str], Counter] = {}
+        self.uses: dict[str, dict[int, Counter]] = {}
 
-    def add(self, lang: str, source: str, text: bytes) -> None:
-        own = self.occurrences.setdefault((lang, source), Counter())
+    def add(self, lang: str, group: int, text: bytes) -> None:
+        own = self.uses.setdefault(lang, {}).setdefault(group, Counter())
         before = len(own)
         longer, level, width = set(), 0, self.first
         for part in segments(text):
@@ -77,20 +68,36 @@ class _Tally:
             width *= 2
 
     def drain(self) -> Iterator[pa.RecordBatch]:
+        by_term: dict[str, dict[bytes, tuple[list[int], list[int]]]] = {}
+        for lang, groups in self.uses.items():
+            held = by_term.setdefault(lang, {})
+            for group, counts in groups.items():
+                for term, n in counts.items():
+                    pair = held.get(term)
+                    if pair is None:
+                        held[term] = ([group], [n])
+                    else:
+                        pair[0].append(group)
+                        pair[1].append(n)
+            groups.clear()
         for (level, done, lang), counts in self.docs.items():
-            yield from _rows(level, lang, None, done, counts)
-        for (lang, source), counts in self.occurrences.items():
-            yield from _rows(0, lang, source, True, counts)
-        self.docs, self.occurrences, self.size = {}, {}, 0
+            items = list(counts.items())
+            for at in range(0, len(items), 1 << 15):
+                part = items[at : at + (1 << 15)]
+                k = len(part)
+                uses = [by_term[lang][t] for t, _ in part] if done else [(None, None)] * k
+                columns = [[level] * k, [lang] * k, [t for t, _ in part], [done] * k, [n for _, n in part], [u[0] for u in uses], [u[1] for u in uses]]
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, _SCHEMA.types, strict=True)], schema=_SCHEMA)
+        self.docs, self.uses, self.size = {}, {}, 0
 
 
 def _counter(first: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = _Tally(first)
         for batch in batches:
-            langs, sources, texts = (batch.column(i) for i in range(3))
-            for lang, source, text in zip(langs.to_pylist(), sources.to_pylist(), texts.cast(pa.large_binary()).to_pylist(), strict=True):
-                tally.add(lang, source, text)
+            langs, groups, texts = (batch.column(i) for i in range(3))
+            for lang, group, text in zip(langs.to_pylist(), groups.to_pylist(), texts.cast(pa.large_binary()).to_pylist(), strict=True):
+                tally.add(lang, group, text)
                 if tally.size > HELD:
                     yield from tally.drain()
         yield from tally.drain()
@@ -98,14 +105,13 @@ def _counter(first: int):
     return run
 
 
-def counted_prefixes(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", first: int = FIRST) -> DataFrame:
-    """Partial counts of every task, written to the shared folder: `(level, lang, source, term, done, n)`.
+def counted_prefixes(rows: DataFrame, first: int = FIRST) -> DataFrame:
+    """Partial counts of every task over `rows(lang, gid, text)`, written to the shared folder: `(level, lang, term, done, n, groups, counts)`.
 
-    Level 0 holds occurrences of terms by source; level k holds documents by prefix of `first * 2^(k-1)` bytes, `done` where
-    the prefix is a complete term. Prefixes that are not done count documents with a longer term.
+    Level k counts documents by prefix of `first * 2^(k-1)` bytes, `done` where the prefix is a complete term, which then carries
+    its occurrences by group. Prefixes that are not done count documents with a longer term.
     """
-    plain = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))))
-    return cut(plain.mapInArrow(_counter(first), _COLUMNS), "prefixes")
+    return cut(rows.select("lang", "gid", "text").mapInArrow(_counter(first), _COLUMNS), "prefixes")
 
 
 def iceberg_terms(counted: DataFrame, least_docs: int, first: int = FIRST) -> DataFrame:
@@ -144,6 +150,18 @@ def _divergence(p: Column, q: Column) -> Column:
     return _div((p - q) * (p - q), q)
 
 
+def _grouped(plain: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The distinct (lang, source) with a 64-bit number each, and the rows with theirs. Numbers are hashes; should two groups
+    meet in one, another seed is taken."""
+    pairs = cut(plain.select("lang", "source").distinct(), "groups")
+    seed = 0
+    while True:
+        gid = F.xxhash64(F.lit(seed), "lang", "source").alias("gid")
+        if pairs.groupBy(gid).count().where("count > 1").isEmpty():
+            return pairs.select("lang", "source", gid), plain.select("lang", gid, "text")
+        seed += 1
+
+
 def source_divergence(
     docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_docs: int = 3, top_terms: int = 200, first: int = FIRST
 ) -> DataFrame:
@@ -158,20 +176,22 @@ def source_divergence(
     Null texts, languages and sources count as empty strings. A repeated row is one more document. Long texts are read
     whole. An empty table gives an empty result; a language with one source has no pairs; other columns are ignored.
     """
-    names = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang_col, "lang"), (source_col, "source"))]
-    groups = cut(docs.select(*names).distinct(), "groups")
-    counted = counted_prefixes(docs, text_col, lang_col, source_col, first)
-    kept = cut(iceberg_terms(counted, least_docs, first), "kept")
+    names = ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))
+    groups, rows = _grouped(docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in names)))
+    counted = counted_prefixes(rows, first)
+    kept = cut(iceberg_terms(counted, least_docs, first).withColumn("tid", F.monotonically_increasing_id()), "kept")
     sizes = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"))
-    uses = counted.filter("level = 0").join(kept.select("lang", "term"), ["lang", "term"], "left_semi")
-    uses = cut(uses.groupBy("lang", "source", "term").agg(F.sum("n").alias("c")), "uses")
-    totals = cut(groups.join(uses.groupBy("lang", "source").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("terms")), ["lang", "source"], "left").join(sizes, "lang", "left").select(
-        "lang", "source", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n", "terms", "v"))), "totals")
-    zero = F.lit(0).cast("long")
+    # from here on terms and groups are numbers
+    uses = counted.filter("done").join(kept.select("lang", "term", "tid"), ["lang", "term"]).select("tid", F.inline(F.arrays_zip("groups", "counts")))
+    uses = cut(uses.groupBy("tid", F.col("groups").alias("gid")).agg(F.sum("counts").alias("c")), "uses")
+    held = uses.groupBy("gid").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("terms"))
+    totals = groups.join(held, "gid", "left").join(sizes, "lang", "left")
+    totals = totals.select("gid", "lang", "source", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n", "terms", "v")))
     # the share of a kept term that a group lacks; without kept terms there is no share
-    totals = totals.withColumn("base", F.when(F.col("v") > 0, _share(zero, F.col("n"), F.col("v"))))
-    shares = cut(uses.join(small_side(totals), ["lang", "source"]).select("lang", "source", "term", _share(F.col("c"), F.col("n"), F.col("v")).alias("p"), "base"), "shares")
-    return _pairs(shares, totals).unionByName(_terms(shares, uses, totals, top_terms))
+    totals = cut(totals.withColumn("base", F.when(F.col("v") > 0, _share(F.lit(0).cast("long"), F.col("n"), F.col("v")))), "totals")
+    shares = uses.join(small_side(totals.select("gid", "n", "v", "base")), "gid")
+    shares = cut(shares.select("tid", "gid", "c", _share(F.col("c"), F.col("n"), F.col("v")).alias("p"), "base"), "shares")
+    return _pairs(shares, totals).unionByName(_terms(shares, kept, totals, top_terms))
 
 
 def _pairs(shares: DataFrame, totals: DataFrame) -> DataFrame:
@@ -180,43 +200,42 @@ def _pairs(shares: DataFrame, totals: DataFrame) -> DataFrame:
     The sum over all kept terms falls into terms that both have (one join on the term), terms that one has (its shares, few
     different numbers, against the other's base), less what both parts count twice, and terms that neither has.
     """
-    left = shares.select("lang", "term", F.col("source").alias("a"), F.col("p").alias("pa"), F.col("base").alias("ba"))
-    right = shares.select("lang", "term", F.col("source").alias("b"), F.col("p").alias("pb"), F.col("base").alias("bb"))
+    left = shares.select("tid", F.col("gid").alias("ga"), F.col("p").alias("pa"), F.col("base").alias("ba"))
+    right = shares.select("tid", F.col("gid").alias("gb"), F.col("p").alias("pb"), F.col("base").alias("bb"))
     p, q, bp, bq = (F.col(c) for c in ("pa", "pb", "ba", "bb"))
-    both = left.join(right, ["lang", "term"]).filter("a < b").groupBy("lang", "a", "b").agg(
+    both = left.join(right, "tid").filter("ga < gb").groupBy("ga", "gb").agg(
         F.sum(_divergence(p, q) - _divergence(p, bq) - _divergence(bp, q)).alias("forth"),
         F.sum(_divergence(q, p) - _divergence(q, bp) - _divergence(bq, p)).alias("back"),
         F.count(F.lit(1)).alias("shared"),
     )
-    both = both.select("lang", F.explode(F.array(
-        F.struct(F.col("a").alias("source"), F.col("b").alias("item"), F.col("forth").alias("d"), "shared"),
-        F.struct(F.col("b").alias("source"), F.col("a").alias("item"), F.col("back").alias("d"), "shared"))).alias("x")).select("lang", "x.*")
+    both = both.select(F.explode(F.array(
+        F.struct(F.col("ga").alias("gid"), F.col("gb").alias("other"), F.col("forth").alias("d"), "shared"),
+        F.struct(F.col("gb").alias("gid"), F.col("ga").alias("other"), F.col("back").alias("d"), "shared"))).alias("x")).select("x.*")
     # equal shares of a group are one row with a count
-    steps = shares.groupBy("lang", "source", "p").agg(F.count(F.lit(1)).alias("k"))
-    own = totals.select("lang", "source", "terms", "v", "base")
-    other = totals.select("lang", F.col("source").alias("item"), F.col("terms").alias("others"), F.col("base").alias("other_base"))
-    pairs = own.join(other, "lang").filter("source <> item")
-    mine = steps.join(other.select("lang", "item", "other_base"), "lang").filter("source <> item").groupBy("lang", "source", "item").agg(
-        F.sum(_divergence(F.col("p"), F.col("other_base")) * F.col("k")).alias("mine"))
-    theirs = steps.withColumnRenamed("source", "item").join(own.select("lang", "source", "base"), "lang").filter("source <> item").groupBy("lang", "source", "item").agg(
-        F.sum(_divergence(F.col("base"), F.col("p")) * F.col("k")).alias("theirs"))
-    keys = ["lang", "source", "item"]
+    steps = cut(shares.groupBy("gid", "p").agg(F.count(F.lit(1)).alias("k")), "steps")
+    own = totals.select("lang", "gid", "source", "terms", "v", "base")
+    far = totals.select("lang", F.col("gid").alias("other"), F.col("source").alias("item"), F.col("terms").alias("others"), F.col("base").alias("other_base"))
+    pairs = cut(own.join(far, "lang").filter("gid <> other"), "pairs")
+    keys = ["gid", "other"]
+    mine = steps.join(pairs, "gid").groupBy(*keys).agg(F.sum(_divergence(F.col("p"), F.col("other_base")) * F.col("k")).alias("mine"))
+    theirs = steps.withColumnRenamed("gid", "other").join(pairs, "other").groupBy(*keys).agg(F.sum(_divergence(F.col("base"), F.col("p")) * F.col("k")).alias("theirs"))
     joined = pairs.join(both, keys, "left").join(mine, keys, "left").join(theirs, keys, "left").na.fill(0, ["d", "shared", "mine", "theirs"])
     neither = F.col("v") - F.col("terms") - F.col("others") + F.col("shared")
     rest = F.coalesce(neither * _divergence(F.col("base"), F.col("other_base")), F.lit(0))
-    valued = joined.select(*keys, F.lit("pair").alias("part"), (F.col("d") + F.col("mine") + F.col("theirs") + rest).cast("long").alias("value"))
+    valued = joined.select("lang", "source", F.lit("pair").alias("part"), "item", (F.col("d") + F.col("mine") + F.col("theirs") + rest).cast("long").alias("value"))
     rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
-    return valued.select("lang", "source", "part", "item", "value", rank.alias("rank"))
+    return valued.withColumn("rank", rank)
 
 
-def _terms(shares: DataFrame, uses: DataFrame, totals: DataFrame, top_terms: int) -> DataFrame:
+def _terms(shares: DataFrame, kept: DataFrame, totals: DataFrame, top_terms: int) -> DataFrame:
     """The terms in which a group exceeds its language most."""
     whole = totals.groupBy("lang").agg(F.sum("n").alias("n"), F.max("v").alias("v"))
-    usual = uses.groupBy("lang", "term").agg(F.sum("c").alias("c")).join(whole, "lang").select("lang", "term", _share(F.col("c"), F.col("n"), F.col("v")).alias("q"))
-    above = shares.join(usual, ["lang", "term"]).filter("p > q").select(
-        "lang", "source", F.lit("term").alias("part"), F.col("term").cast("string").alias("item"), _divergence(F.col("p"), F.col("q")).alias("value"))
-    rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
-    return above.withColumn("rank", rank).filter(F.col("rank") <= top_terms).select("lang", "source", "part", "item", "value", "rank")
+    usual = shares.groupBy("tid").agg(F.sum("c").alias("c")).join(kept, "tid").join(small_side(whole), "lang")
+    usual = usual.select("tid", F.col("term").cast("string").alias("item"), _share(F.col("c"), F.col("n"), F.col("v")).alias("q"))
+    above = shares.join(usual, "tid").filter("p > q").select("gid", "item", _divergence(F.col("p"), F.col("q")).alias("value"))
+    rank = F.row_number().over(Window.partitionBy("gid").orderBy(F.desc("value"), "item"))
+    best = above.withColumn("rank", rank).filter(F.col("rank") <= top_terms)
+    return best.join(small_side(totals.select("gid", "lang", "source")), "gid").select("lang", "source", F.lit("term").alias("part"), "item", "value", "rank")
 
 
 def op13_source_audit(spark, sf_dir: str) -> DataFrame:
