@@ -10,6 +10,7 @@ from lodestone.catalog.q_functions import QTOK, norm_sql
 from lodestone.catalog.registry import query, view
 from lodestone.common import union_all
 from lodestone.operators import retrieval as H
+from lodestone.operators.textindex import build_index
 
 r6 = lambda df, *names: df.select(*[F.round(c, 6).alias(c) if c in names else c for c in df.columns])
 
@@ -23,8 +24,8 @@ FROM x_qt JOIN x_tw ON x_tw.term = x_qt.term JOIN x_post ON x_post.term = x_qt.t
 view("x_bmk", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM x_bm WHERE score > 0) u WHERE rank <= 50")
 
 
-def postings(t):
-    return t.built("postings", lambda: H.build_postings(t("documents")))
+def index(t):
+    return t.kept("text_index", lambda: build_index(t("documents")))
 
 
 def questions(t):
@@ -32,7 +33,7 @@ def questions(t):
 
 
 def bm25(t):
-    return t.built("bm25", lambda: H.bm25_topk(questions(t), postings(t), t("documents"), 50))
+    return t.built("bm25", lambda: H.bm25_topk(questions(t), index(t), 50))
 
 
 @query("build_postings", "SELECT doc_id, term, tf, CAST(dl AS INT) AS dl FROM x_post")
@@ -42,12 +43,12 @@ def _(t):
 
 @query("term_weights", "SELECT term, df, round(idf, 6) AS idf FROM x_tw")
 def _(t):
-    return r6(H.term_weights(postings(t), t("documents").select(F.count("*")).scalar()), "idf")
+    return r6(H.term_weights(H.build_postings(t("documents")), t("documents").select(F.count("*")).scalar()), "idf")
 
 
 @query("bm25_topk", "SELECT query_id, doc_id, round(score, 6) AS score, rank FROM x_bmk")
 def _(t):
-    return r6(H.bm25_topk(questions(t), postings(t), t("documents"), 50), "score")
+    return r6(H.bm25_topk(questions(t), index(t), 50), "score")
 
 
 @query("scoped_topk", f"""SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT b.query_id || '/' || d.lang AS query_id, b.doc_id, b.score,
@@ -56,7 +57,7 @@ def _(t):
     langs = t("documents").select(F.col("lang").alias("scope_id"), "doc_id")
     each = t("documents").select(F.collect_set("lang")).scalar()
     asked = questions(t).select("query_id", "text", F.explode(each).alias("scope_id")).withColumn("query_id", F.concat_ws("/", "query_id", "scope_id"))
-    return r6(H.scoped_topk(asked, postings(t), t("documents"), langs, 10), "score")
+    return r6(H.scoped_topk(asked, index(t), langs, 10), "score")
 
 
 # --- vectors -----------------------------------------------------------------------------------------------------------------

@@ -97,6 +97,12 @@ class Tables:
             self._built[name] = cut(make(), name)
         return self._built[name]
 
+    def kept(self, name: str, make: Callable):
+        """As `built`, for what consists of several written tables."""
+        if name not in self._built:
+            self._built[name] = make()
+        return self._built[name]
+
 
 def tables(spark: SparkSession, folder: str) -> Tables:
     key = (spark.sparkContext.applicationId, folder.rstrip("/"))

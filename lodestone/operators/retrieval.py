@@ -2,95 +2,47 @@
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.common import top_n, union_all
 from lodestone.functions import text as X
+from lodestone.operators import textindex as T
+from lodestone.operators import vectors as V
 from lodestone.operators.matching import name_lengths
 
-# fixed values: ranking constants
-K1, B, EPSILON = 1.5, 0.75, 0.25
+# fixed value: rank constant of the fusion
 RRF_K = 60
 
 
 def build_postings(docs: DataFrame) -> DataFrame:
-    """`(doc_id, term, tf, dl)` of `docs(doc_id, text)`."""
-    terms = docs.select("doc_id", F.explode(X.tokenize("text")).alias("term"))
-    tf = terms.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    dl = docs.select("doc_id", F.size(X.tokenize("text")).alias("dl"))
-    return tf.join(dl, "doc_id")
+    """`(doc_id, term, tf, dl)` of `docs(doc_id, text)`, each text tokenised once."""
+    return T.exploded(T.token_counts(docs))
 
 
 def term_weights(postings: DataFrame, n_docs: Column) -> DataFrame:
     """`(term, df, idf)`: Okapi inverse document frequency; a negative one is replaced by a quarter of the mean."""
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.withColumn("raw", F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    mean = raw.select(F.avg("raw")).scalar()
-    return raw.select("term", "df", F.when(F.col("raw") < 0, EPSILON * mean).otherwise(F.col("raw")).alias("idf"))
-
+    return T.idf_of(postings.groupBy("term").agg(F.count("*").alias("df")), n_docs)
 
-def bm25_scores(queries: DataFrame, postings: DataFrame, docs: DataFrame, scope: DataFrame | None = None) -> DataFrame:
-    """`(query_id, doc_id, score)` of documents sharing a term with the query, scores above zero only.
-
-    `queries(query_id, text)`, or `(query_id, scope_id, text)` together with `scope(scope_id, doc_id)`: then only documents of
-    the query's scope are scored, with the weights of the whole corpus. Repeated query terms count again.
-    """
-    n_docs = docs.select(F.count("*")).scalar()
-    avgdl = docs.select(F.avg(F.size(X.tokenize("text")))).scalar()
-    keys = ["query_id"] + (["scope_id"] if scope is not None else [])
-    asked = queries.select(*keys, F.explode(X.tokenize("text")).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("qtf"))
-    known = postings
-    if scope is not None:
-        known = scope.select("scope_id", "doc_id").distinct().join(postings, "doc_id")
-    weighted = asked.join(term_weights(postings, n_docs), "term")
-    rows = weighted.join(known, ["term"] + (["scope_id"] if scope is not None else []))
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
-    return rows.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 9).alias("score")).where("score > 0")
 
+def bm25_topk(queries: DataFrame, index: T.TextIndex, k: int = 50, counts: dict | None = None) -> DataFrame:
+    """`(query_id, doc_id, score, rank)` of `queries(query_id, text)` against an index, see `textindex.search`."""
+    return T.search(queries, index, k, counts=counts)
 
-def bm25_topk(queries: DataFrame, postings: DataFrame, docs: DataFrame, k: int = 50) -> DataFrame:
-    return ranked(bm25_scores(queries, postings, docs), k)
 
-
-def scoped_topk(queries: DataFrame, postings: DataFrame, docs: DataFrame, scope: DataFrame, k: int = 50) -> DataFrame:
+def scoped_topk(queries: DataFrame, index: T.TextIndex, scope: DataFrame, k: int = 50, counts: dict | None = None) -> DataFrame:
     """As `bm25_topk`, restricted to each query's scope before the cut."""
-    return ranked(bm25_scores(queries, postings, docs, scope), k)
+    return T.search(queries, index, k, scope, counts)
 
 
 def ranked(scores: DataFrame, k: int) -> DataFrame:
     return top_n(scores, "query_id", [F.col("score").desc(), "doc_id"], k, "rank")
 
 
-def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 50, block: int = 4096) -> DataFrame:
-    """`(query_id, doc_id, score, rank)`: exact inner product of `queries(query_id, vec)` with `vectors(doc_id, vec)`.
-
-    Both sides are cut into blocks of about `block` rows by a hash of their id; every pair of blocks is one matrix product in
-    a task, which passes on its best `k` per query only. Neither side is broadcast or collected.
-    """
-    nq = max(1, math.ceil(queries.count() / block))
-    nv = max(1, math.ceil(vectors.count() / block))
-    q = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(nq))).withColumn("vb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nv - 1).cast("long"))))
-    v = vectors.withColumn("vb", F.pmod(F.xxhash64("doc_id"), F.lit(nv))).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long"))))
-
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"query_id": left["query_id"][:0], "doc_id": right["doc_id"][:0], "score": np.zeros(0)})
-        right = right.sort_values("doc_id", kind="stable")
-        ids = right["doc_id"].to_numpy()
-        m = np.stack(left["vec"].to_numpy()).astype("float64") @ np.stack(right["vec"].to_numpy()).astype("float64").T
-        m = np.round(m, 9)
-        order = np.argsort(-m, axis=1, kind="stable")[:, :k]
-        return pd.DataFrame({"query_id": np.repeat(left["query_id"].to_numpy(), order.shape[1]), "doc_id": ids[order].ravel(),
-                             "score": np.take_along_axis(m, order, axis=1).ravel()})
-
-    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_id {vectors.schema['doc_id'].dataType.simpleString()}, score double"
-    parts = q.groupBy("qb", "vb").cogroup(v.groupBy("qb", "vb")).applyInPandas(best, schema)
-    return ranked(parts, k)
+def dense_topk(queries: DataFrame, vectors: DataFrame | V.VectorIndex, k: int = 50, block: int = V.BLOCK, counts: dict | None = None) -> DataFrame:
+    """`(query_id, doc_id, score, rank)`: exact inner product of `queries(query_id, vec)` with `vectors(doc_id, vec)` or an index of them."""
+    index = vectors if isinstance(vectors, V.VectorIndex) else V.build_vectors(vectors, block)
+    return V.nearest(queries, index, k, counts)
 
 
 def centroid(vectors: DataFrame, key: str | None = None) -> DataFrame:

@@ -1,12 +1,15 @@
 import math
+import random
 import re
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from lodestone.operators import answers as A
 from lodestone.operators import matching as M
 from lodestone.operators import retrieval as H
+from lodestone.operators import textindex as T
 
 DOCS = [(1, "common word alpha alpha"), (2, "common beta"), (3, "common gamma word"), (4, "nothing here"), (5, "")]
 
@@ -29,8 +32,8 @@ def okapi(query, docs):
 
 def test_bm25_repeated_terms_and_negative_idf(frame):
     docs = frame(DOCS, "doc_id long, text string")
-    queries = frame([("q1", "common alpha alpha"), ("q2", "unknown")], "query_id string, text string")
-    got = H.bm25_topk(queries, H.build_postings(docs), docs, 10).collect()
+    queries = frame([("q1", "common alpha alpha"), ("q2", "unknown"), ("q3", None)], "query_id string, text string")
+    got = H.bm25_topk(queries, T.build_index(docs), 10).collect()
     assert {r.doc_id: round(r.score, 6) for r in got} == okapi("common alpha alpha", DOCS)
     assert {r.query_id for r in got} == {"q1"}
 
@@ -39,7 +42,50 @@ def test_scope_comes_before_the_cut(frame):
     docs = frame(DOCS, "doc_id long, text string")
     asked = frame([("q", "s", "common")], "query_id string, scope_id string, text string")
     scope = frame([("s", 3)], "scope_id string, doc_id long")
-    assert [r.doc_id for r in H.scoped_topk(asked, H.build_postings(docs), docs, scope, 1).collect()] == [3]
+    assert [r.doc_id for r in H.scoped_topk(asked, T.build_index(docs), scope, 1).collect()] == [3]
+
+
+def topics(n=1200, seed=4):
+    """Texts on twelve topics, with words that all share, and empty, missing and equal ones."""
+    rng = random.Random(seed)
+    out = [(0, None), (1, ""), (2, "?!")]
+    for i in range(3, n):
+        topic = rng.randrange(12)
+        words = [f"t{topic}w{int(rng.random() ** 2 * 40)}" if rng.random() < 0.7 else f"all{int(rng.random() ** 2 * 30)}" for _ in range(rng.randrange(3, 60))]
+        out.append((i, " ".join(words)))
+    return out + [(n + i, out[50][1].upper()) for i in range(5)]
+
+
+@pytest.mark.parametrize("block", [8, 64, 5000])
+def test_blocks_lose_no_document(frame, block):
+    rows = topics()
+    docs = frame(rows, "doc_id long, text string")
+    asked = [(f"q{i}", rows[40 + 25 * i][1]) for i in range(12)] + [("few", "t3w39 t5w38"), ("none", "zzz"), ("all", "all0 all1 all0")]
+    counts = {}
+    index = T.build_index(docs, block)
+    got = {}
+    for r in H.bm25_topk(frame(asked, "query_id string, text string"), index, 10, counts).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.doc_id, round(r.score, 4)))
+    for q, text in asked:
+        best = sorted(okapi(text, [(i, t or "") for i, t in rows]).items(), key=lambda x: (-x[1], x[0]))[:10]
+        assert sorted(got.get(q, [])) == [(n, d, round(s, 4)) for n, (d, s) in enumerate(best, 1)]
+    assert counts["read"] <= counts["blocks"]
+    if block == 8:
+        assert counts["read"] < 0.6 * counts["blocks"]
+    odd = frame([("odd", i) for i in range(1, 1200, 2)] + [("tiny", 45)], "scope_id string, doc_id long")
+    scoped = [(f"{q}/{s}", s, t) for q, t in asked[:4] for s in ("odd", "tiny", "missing")]
+    got = {}
+    for r in H.scoped_topk(frame(scoped, "query_id string, scope_id string, text string"), index, odd, 5).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.doc_id))
+    for q, s, text in scoped:
+        inside = {"odd": lambda d: d % 2 == 1 and d < 1200, "tiny": lambda d: d == 45, "missing": lambda d: False}[s]
+        best = sorted(((d, v) for d, v in okapi(text, [(i, t or "") for i, t in rows]).items() if inside(d)), key=lambda x: (-x[1], x[0]))[:5]
+        assert sorted(got.get(q, [])) == [(n, d) for n, (d, _) in enumerate(best, 1)]
+
+
+def test_index_of_nothing(frame):
+    none = frame([], "doc_id long, text string")
+    assert H.bm25_topk(frame([("q", "word")], "query_id string, text string"), T.build_index(none), 3).count() == 0
 
 
 def test_dense_blocks_equal_one_product(frame):
@@ -56,6 +102,26 @@ def test_dense_blocks_equal_one_product(frame):
     assert got == {i: sorted(range(37), key=lambda j: (-m[i, j], j))[:4] for i in range(9)}
 
 
+@pytest.mark.parametrize("spread,share", [(0.05, 0.5), (5.0, 1.0)])
+def test_blocks_around_pivots_equal_one_product(frame, spread, share):
+    rng = np.random.default_rng(8)
+    middles = rng.normal(size=(20, 6))
+    v = np.concatenate([m + spread * rng.normal(size=(40, 6)) for m in middles] + [np.tile(middles[3], (60, 1)), np.zeros((2, 6))]).round(3)
+    rows = [(i, [float(x) for x in row]) for i, row in enumerate(v)] + [(9999, None)]
+    vec = frame(rows, "doc_id long, vec array<double>")
+    q = vec.where("doc_id % 7 = 0 OR doc_id >= 860").withColumnRenamed("doc_id", "query_id")
+    counts = {}
+    got = {}
+    for r in H.dense_topk(q, vec, 5, block=16, counts=counts).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.doc_id))
+    m = np.round(v @ v.T, 9)
+    assert {i: sorted(x) for i, x in got.items()} == {i: list(enumerate(sorted(range(len(v)), key=lambda j: (-m[i, j], j))[:5], 1)) for i in got}
+    assert set(got) == {i for i in range(len(v)) if i % 7 == 0 or i >= 860}
+    assert counts["read"] <= share * counts["blocks"]
+    none = vec.limit(0)
+    assert H.dense_topk(q, none, 5).count() == 0 and H.dense_topk(none.withColumnRenamed("doc_id", "query_id"), vec, 5).count() == 0
+
+
 def test_fusion_and_gates(frame, rows):
     lists = frame([("q", "d1", 1), ("q", "d2", 2), ("q", "d2", 1), ("q", "d3", 2)], "query_id string, doc_id string, rank int")
     assert [r.doc_id for r in H.rrf_fuse(lists).orderBy("rank").collect()] == ["d2", "d1", "d3"]
