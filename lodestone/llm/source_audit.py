@@ -1,7 +1,7 @@
 """How far the sources of a language differ in their terms, with the terms found by iceberg prefix refinement.
 
 A language keeps the terms of at least `least_docs` of its documents. They are found level by level: byte prefixes of
-2, 4, 8, ... bytes are counted by distinct documents, prefixes below the threshold are thrown out, and only longer
+4, 8, 16, ... bytes are counted by distinct documents, prefixes below the threshold are thrown out, and only longer
 prefixes of the ones that stay are looked at, until every kept prefix is a complete term. A rare long term thus drops
 out at a short prefix and is never shuffled whole.
 
@@ -16,7 +16,9 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,7 +29,7 @@ from lodestone.llm.base import segments, small_side, table
 #: Every byte that is no letter A-Z, a-z and no part of a character beyond ASCII becomes a space, A-Z lower case.
 TERMS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 #: Bytes of the shortest prefixes; every level doubles it.
-FIRST = 2
+FIRST = 4
 #: Entries a task holds before it hands its counts on.
 HELD = 1_000_000
 #: Bytes of prefixes that may be sent to every task; beyond, prefixes are joined by a shuffle.
@@ -68,26 +70,31 @@ class _Tally:
             width *= 2
 
     def drain(self) -> Iterator[pa.RecordBatch]:
-        by_term: dict[str, dict[bytes, tuple[list[int], list[int]]]] = {}
+        # by term: group, count, group, count, ...
+        by_term: dict[str, dict[bytes, list[int]]] = {}
         for lang, groups in self.uses.items():
             held = by_term.setdefault(lang, {})
             for group, counts in groups.items():
                 for term, n in counts.items():
-                    pair = held.get(term)
-                    if pair is None:
-                        held[term] = ([group], [n])
+                    if term in held:
+                        held[term] += (group, n)
                     else:
-                        pair[0].append(group)
-                        pair[1].append(n)
+                        held[term] = [group, n]
             groups.clear()
         for (level, done, lang), counts in self.docs.items():
-            items = list(counts.items())
-            for at in range(0, len(items), 1 << 15):
-                part = items[at : at + (1 << 15)]
-                k = len(part)
-                uses = [by_term[lang][t] for t, _ in part] if done else [(None, None)] * k
-                columns = [[level] * k, [lang] * k, [t for t, _ in part], [done] * k, [n for _, n in part], [u[0] for u in uses], [u[1] for u in uses]]
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, _SCHEMA.types, strict=True)], schema=_SCHEMA)
+            terms, n = list(counts), np.fromiter(counts.values(), np.int64, len(counts))
+            for at in range(0, len(terms), 1 << 15):
+                part = terms[at : at + (1 << 15)]
+                uses = [by_term[lang][t] for t in part] if done else []
+                ends = np.zeros(len(part) + 1, np.int32)
+                if done:
+                    np.cumsum(np.fromiter(map(len, uses), np.int32, len(uses)) // 2, out=ends[1:])
+                flat = np.fromiter(chain.from_iterable(uses), np.int64, 2 * int(ends[-1])).reshape(-1, 2)
+                lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(flat[:, i]))) for i in range(2)]
+                same = pa.array(np.zeros(len(part), np.int32))
+                columns = [pa.array(np.full(len(part), level, np.int32)), pa.DictionaryArray.from_arrays(same, pa.array([lang])).cast(pa.string()), pa.array(part, pa.binary()),
+                           pa.array(np.full(len(part), done)), pa.array(n[at : at + (1 << 15)]), *lists]
+                yield pa.record_batch(columns, schema=_SCHEMA)
         self.docs, self.uses, self.size = {}, {}, 0
 
 

@@ -132,10 +132,10 @@ def test_refinement_drops_rare_prefixes(spark):
     """A level holds no prefix below the threshold, and its counts are of distinct documents."""
     rows = [("abcdef abcdeg", "en", "s"), ("abcdef zzzzzz", "en", "s"), ("abcdef zzzzzz zzzzzy", "en", "s"), ("abxxxx", "en", "s")]
     docs = spark.createDataFrame(rows, "text string, lang string, source string")
-    counted = source_audit.counted_prefixes(docs.withColumn("gid", F.lit(1).cast("long")))
+    counted = source_audit.counted_prefixes(docs.withColumn("gid", F.lit(1).cast("long")), 2)
     level = {r.term.decode(): r.n for r in counted.filter("level = 1").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     assert level == {"ab": 4, "zz": 2}
-    assert [(r.term.decode(), r.docs) for r in source_audit.iceberg_terms(counted, 3).collect()] == [("abcdef", 3)]
+    assert [(r.term.decode(), r.docs) for r in source_audit.iceberg_terms(counted, 3, 2).collect()] == [("abcdef", 3)]
 
 
 def test_source_edges(spark, odd, none):
