@@ -161,6 +161,7 @@ def _(t):
 view("v_few_mentions", """SELECT DISTINCT 'PMID:' || l_orderkey AS doc_id, 'S:' || l_suppkey AS entity FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'O'""")
 view("v_sdoc", "SELECT 'PMID:' || l_orderkey AS doc_id, 'Note on ' || min(s_name) AS title, 'Body naming ' || max(s_name) || ' again' AS text FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY l_orderkey")
 view("v_sname", "SELECT 'S:' || s_suppkey AS id, s_name AS name FROM supplier WHERE s_acctbal > 0 UNION ALL SELECT 'N:' || n_nationkey, n_name FROM nation UNION ALL SELECT 'S:' || s_suppkey, 'body naming supplier 00000' FROM supplier WHERE s_acctbal < -900")
+view("v_sheading", "SELECT 'PMID:' || l_orderkey AS doc_id, 'Index of ' || n_name || CASE WHEN l_linenumber > 2 THEN 'n' ELSE ' trade' END AS term FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE l_linestatus = 'O'")
 view("x_sg", "SELECT DISTINCT c.ancestor AS id, m.doc_id FROM x_clo c JOIN v_few_mentions m ON m.entity = c.id WHERE dist <= 4")
 view("x_sfew", "SELECT e.id FROM v_entity e LEFT JOIN x_sg g ON g.id = e.id GROUP BY e.id HAVING count(g.doc_id) < 3")
 view("x_sterm", f"SELECT DISTINCT id, {norm_sql('name')} AS phrase FROM v_sname WHERE id IN (SELECT id FROM x_sfew) AND length(name) >= 6")
@@ -170,16 +171,17 @@ def like(field: str) -> str:
     return f"(' ' || {norm_sql(field)}) LIKE ('% ' || phrase || '%')"
 
 
-view("x_stitle", f"SELECT DISTINCT id, doc_id FROM x_sterm JOIN v_sdoc ON {like('title')}")
+view("x_stitle", f"""SELECT DISTINCT id, doc_id FROM x_sterm JOIN v_sdoc ON {like('title')}
+UNION SELECT id, doc_id FROM (SELECT DISTINCT id, term FROM x_sterm JOIN (SELECT DISTINCT term FROM v_sheading) h ON {like('term')}) m JOIN v_sheading USING (term)""")
 view("x_sshort", "SELECT f.id FROM x_sfew f LEFT JOIN x_stitle g ON g.id = f.id GROUP BY f.id HAVING count(g.doc_id) < 3")
 view("x_stext", f"SELECT DISTINCT id, doc_id FROM (SELECT * FROM x_sterm WHERE id IN (SELECT id FROM x_sshort)) s JOIN v_sdoc ON {like('text')}")
 view("x_srows", "SELECT id, doc_id, min(how) AS how FROM (SELECT id, doc_id, 0 AS how FROM x_sg UNION ALL SELECT id, doc_id, 1 FROM x_stitle UNION ALL SELECT id, doc_id, 2 FROM x_stext) u GROUP BY id, doc_id")
-view("x_sfacts", """SELECT e.id, CASE WHEN count(doc_id) < 3 THEN 'all' WHEN max(how) = 0 THEN 'graph mentions' WHEN max(how) = 1 THEN 'keyword (title)' ELSE 'keyword (text)' END AS method, count(doc_id) AS n_docs
+view("x_sfacts", """SELECT e.id, CASE WHEN count(doc_id) < 3 THEN 'all' WHEN max(how) = 0 THEN 'graph mentions' WHEN max(how) = 1 THEN 'keyword (title/terms)' ELSE 'keyword (title/terms/text)' END AS method, count(doc_id) AS n_docs
 FROM v_entity e LEFT JOIN x_srows r ON r.id = e.id GROUP BY e.id""")
 
 
 def scope(t):
-    return H.entity_scope(K.ids(t), B.family(t), t("v_few_mentions"), t("v_sdoc"), t("v_sname"))
+    return H.entity_scope(K.ids(t), B.family(t), t("v_few_mentions"), t("v_sdoc"), t("v_sname"), headings=t("v_sheading"))
 
 
 @query("entity_scope", "SELECT id, method, n_docs FROM x_sfacts")

@@ -5,22 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.common import min_row, top_n, union_all
+from lodestone.common import cut, min_row, top_n, union_all
 from lodestone.functions import rules as R
 from lodestone.functions import values as V
-from lodestone.functions.text import let, norm_text, word_ngrams
-
-
-def name_lengths(names: DataFrame, column: str = "norm") -> list[int]:
-    """The word counts that occur among names; one small aggregate, bounded by the longest name."""
-    rows = names.select(F.size(F.split(column, " ")).alias("n")).distinct().collect()
-    return sorted(r.n for r in rows)
-
-
-def gram_rows(texts: DataFrame, lengths: list[int], keys: list[str]) -> DataFrame:
-    """One row per distinct word n-gram of `norm`, for the given lengths."""
-    grams = let(F.split("norm", " "), lambda t: F.array_distinct(F.flatten(F.array(*[word_ngrams(t, n) for n in lengths]))))
-    return texts.select(*keys, F.explode(grams).alias("phrase"))
+from lodestone.functions.text import norm_text
+from lodestone.operators.dictionary import find_names
 
 
 def condition_names(dictionary: DataFrame, min_len: int = 3) -> DataFrame:
@@ -43,41 +32,38 @@ def match_conditions(conditions: DataFrame, names: DataFrame, terms: DataFrame,
         "condition", "controlled", "entity", F.lit("controlled term").alias("how"), F.lit(0.9).alias("confidence"))
     rest = rest.join(term.select("condition", "controlled").distinct(), ["condition", "controlled"], "left_anti")
     usable = names.where(F.length("norm") >= min_contained).withColumnRenamed("norm", "phrase")
-    grams = gram_rows(rest, name_lengths(usable, "phrase"), ["condition", "controlled"])
-    found = grams.join(usable.select("phrase").distinct(), "phrase", "left_semi")
-    best = found.groupBy("condition", "controlled").agg(min_row([(-F.length("phrase")).alias("l"), "phrase"]).alias("b"))
-    part = best.select("condition", "controlled", F.col("b.phrase").alias("phrase")).join(usable, "phrase").select(
+    found = find_names(rest.select(F.col("norm").alias("text"), "norm").distinct(), usable, "text")
+    best = found.groupBy(F.col("text").alias("norm")).agg(min_row([(-F.length("phrase")).alias("l"), "phrase"]).alias("b"))
+    part = rest.join(best, "norm").select("condition", "controlled", F.col("b.phrase").alias("phrase")).join(usable, "phrase").select(
         "condition", "controlled", "entity", F.concat(F.lit("contains '"), "phrase", F.lit("'")).alias("how"), F.lit(0.75).alias("confidence"))
     links = conditions.select("study", "condition", "controlled").distinct().join(union_all([exact, term, part]), ["condition", "controlled"])
     one = links.groupBy("study", "entity").agg(min_row([(-F.col("confidence")).alias("c"), "controlled", "condition", "how"]).alias("b"))
     return one.select("study", "entity", "b.condition", "b.how", (-F.col("b.c")).alias("confidence"))
 
 
-def phrase_dictionary(dictionary: DataFrame, min_len: int = 6, max_targets: int = 3) -> DataFrame:
-    """`(phrase, entity)`: a name that is some entity's label stands for those entities only, else for the first
-    `max_targets` entities in id order. `dictionary(text, entity, is_label)`."""
+def phrase_dictionary(dictionary: DataFrame, min_len: int = 6, max_targets: int | None = None) -> DataFrame:
+    """`(phrase, entity)`: a name that is some entity's label stands for those entities only, else for all entities or, if given,
+    the first `max_targets` in id order. `dictionary(text, entity, is_label)`."""
     rows = dictionary.select(norm_text("text").alias("phrase"), "entity", "is_label").where(F.length("phrase") >= min_len)
     rows = rows.groupBy("phrase", "entity").agg(F.bool_or("is_label").alias("is_label"))
     labelled = rows.groupBy("phrase").agg(F.bool_or("is_label").alias("any_label"))
     rows = rows.join(labelled, "phrase")
+    other = rows.where("not any_label").select("phrase", "entity")
     return rows.where("is_label").select("phrase", "entity").unionByName(
-        top_n(rows.where("not any_label").select("phrase", "entity"), "phrase", ["entity"], max_targets))
+        other if max_targets is None else top_n(other, "phrase", ["entity"], max_targets))
 
 
 def match_phrases(texts: DataFrame, phrases: DataFrame) -> DataFrame:
     """`(doc_id, entity, phrase)`: entities named in texts; a phrase contained in a longer phrase found in the same text
     does not count. `texts(doc_id, text)`, `phrases(phrase, entity)`.
 
-    Texts and names meet in an equi join on word n-grams. The parts of the phrases found are spelled out and taken away
-    with an anti join, so phrases of a text are not compared with each other.
+    Texts are walked by the tries of `find_names`. Which phrases hold which others is found in the dictionary once, so phrases of a
+    text are not compared with each other.
     """
     known = phrases.select("phrase").distinct()
-    lengths = name_lengths(known, "phrase")
-    grams = gram_rows(texts.select("doc_id", norm_text("text").alias("norm")), lengths, ["doc_id"])
-    found = grams.join(known, "phrase", "left_semi")
-    words = F.split("phrase", " ")
-    inner = F.flatten(F.array(*[F.when(F.size(words) > n, word_ngrams(words, n)).otherwise(F.array().cast("array<string>")) for n in lengths]))
-    parts = found.select("doc_id", F.explode(inner).alias("phrase")).distinct()
+    found = cut(find_names(texts.select("doc_id", norm_text("text").alias("norm")), known), "found")
+    inside = find_names(known.select(F.col("phrase").alias("longer"), F.col("phrase").alias("norm")), known, "longer").where("longer <> phrase")
+    parts = found.withColumnRenamed("phrase", "longer").join(cut(inside, "inside"), "longer").select("doc_id", "phrase").distinct()
     kept = found.join(parts, ["doc_id", "phrase"], "left_anti")
     hits = kept.join(phrases, "phrase")
     return hits.groupBy("doc_id", "entity").agg(min_row([(-F.length("phrase")).alias("l"), "phrase"]).alias("b")).select(
@@ -116,17 +102,17 @@ def sponsor_edges(sponsors: DataFrame, seeds: DataFrame) -> DataFrame:
     """
     rows = sponsors.where("name <> ''").withColumn("norm", norm_text("name")).join(seeds, "norm", "left")
     fits = (F.col("cls") == "OTHER") & F.col("name").rlike(R.any_case(V.ORG_INCLUDE)) & ~F.col("name").rlike(R.any_case(V.ORG_EXCLUDE))
-    made = F.concat(F.lit("ORG:"), F.substring(F.replace("norm", F.lit(" "), F.lit("-")), 1, 60))
+    made = F.concat(F.lit("ORG:"), F.replace("norm", F.lit(" "), F.lit("-")))
     return rows.where(F.col("org").isNotNull() | fits).select(
         F.coalesce("org", made).alias("org"), "trial", "role", "name", F.lit(0.9).alias("confidence"), F.col("org").isNotNull().alias("is_seed"))
 
 
-def project_entity_edges(projects: DataFrame, phrases: DataFrame, latest: int = 3) -> DataFrame:
-    """Grant to entity by text match in its latest rows: title 0.9, abstract 0.7, concept term 0.6, best field wins.
+def project_entity_edges(projects: DataFrame, phrases: DataFrame, latest: int | None = None) -> DataFrame:
+    """Grant to entity by text match in its rows, or in the `latest` ones if given: title 0.9, abstract 0.7, concept term 0.6, best field wins.
 
     `projects(core, project_num, fy, title, abstract, terms)` with `terms` an array. A concept term must be a name as a whole.
     """
-    recent = top_n(projects, "core", [F.col("fy").desc(), F.col("project_num").desc()], latest)
+    recent = projects if latest is None else top_n(projects, "core", [F.col("fy").desc(), F.col("project_num").desc()], latest)
     long = recent.select("core", F.explode(F.array(
         F.struct(F.lit("title").alias("field"), F.lit(0.9).alias("c"), F.col("title").alias("text")),
         F.struct(F.lit("abstract").alias("field"), F.lit(0.7).alias("c"), F.col("abstract").alias("text")))).alias("f")).select("core", "f.*")

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.common import top_n, union_all
+from lodestone.common import cut, top_n, union_all
 from lodestone.functions import text as X
 from lodestone.operators import textindex as T
 from lodestone.operators import vectors as V
-from lodestone.operators.matching import name_lengths
+from lodestone.operators.dictionary import find_names
 
 # fixed value: rank constant of the fusion
 RRF_K = 60
@@ -64,26 +64,13 @@ def centroid_similarity(queries: DataFrame, vectors: DataFrame) -> DataFrame:
     return placed.select("query_id", dot("vec", "middle").alias("similarity"))
 
 
-def prefix_rows(texts: DataFrame, lengths: list[int], min_len: int = 6) -> DataFrame:
-    """`(doc_id, phrase)`: word n-grams with the last word cut to every prefix, for names that may be followed by an ending."""
-    def cuts(gram: Column) -> Column:
-        tail = F.length(F.substring_index(gram, " ", -1))
-        size = F.length(gram)
-        first = F.greatest(size - tail + 1, F.lit(min_len))
-        return F.when(size >= first, F.transform(F.sequence(first, F.greatest(first, size)), lambda n: F.substring(gram, F.lit(1), n))).otherwise(
-            F.array().cast("array<string>"))
-
-    grams = X.let(F.split("norm", " "), lambda t: F.array_distinct(F.flatten(F.array(*[X.word_ngrams(t, n) for n in lengths]))))
-    return texts.select("doc_id", F.explode(F.array_distinct(F.flatten(F.transform(grams, cuts)))).alias("phrase"))
-
-
 def entity_scope(ids: DataFrame, family: DataFrame, mentions: DataFrame, docs: DataFrame, names: DataFrame, min_docs: int = 3,
-                 max_depth: int = 4) -> tuple[DataFrame, DataFrame]:
+                 max_depth: int = 4, headings: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Documents of each entity, and the way they were found: `(id, doc_id)` and `(id, method, n_docs)`.
 
     Mentions of the entity and its subtypes down to `max_depth`; with fewer than `min_docs` of them, also documents whose title
-    holds a name; still fewer, whose text does. Entities that stay below `min_docs` search everything and have no rows.
-    `mentions(doc_id, entity)`, `docs(doc_id, title, text)`, `names(id, name)`.
+    or one of whose controlled terms holds a name; still fewer, whose text does. Entities that stay below `min_docs` search
+    everything and have no rows. `mentions(doc_id, entity)`, `docs(doc_id, title, text)`, `names(id, name)`, `headings(doc_id, term)`.
     """
     want = ids.select("id").distinct()
     near = family.where(F.col("dist") <= max_depth).join(want, "id", "left_semi").select("id", F.col("member").alias("entity"))
@@ -92,19 +79,20 @@ def entity_scope(ids: DataFrame, family: DataFrame, mentions: DataFrame, docs: D
     few = want.join(size(graph, "n"), "id", "left").where(F.coalesce("n", F.lit(0)) < min_docs).select("id")
     terms = names.join(few, "id", "left_semi").groupBy("id").agg(F.collect_set("name").alias("names")).select(
         "id", F.explode(X.usable_terms("names")).alias("name")).select("id", X.norm_text("name").alias("phrase")).where("phrase <> ''").distinct()
-    lengths = name_lengths(terms, "phrase")
 
-    def found(field: str, want_terms: DataFrame) -> DataFrame:
-        texts = docs.select("doc_id", X.norm_text(field).alias("norm"))
-        return prefix_rows(texts, lengths).join(want_terms, "phrase").select("id", "doc_id").distinct() if lengths else graph.limit(0)
+    def found(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+        return find_names(texts, wanted, prefix=True).join(wanted, "phrase").select("id", "doc_id").distinct()
 
-    in_title = found("title", terms)
+    titles = docs.select("doc_id", X.norm_text("title").alias("norm"))
+    if headings is not None:
+        titles = titles.unionByName(headings.select("doc_id", X.norm_text("term").alias("norm")))
+    in_title = cut(found(titles, terms), "titles")
     short = few.join(size(in_title, "n"), "id", "left").where(F.coalesce("n", F.lit(0)) < min_docs).select("id")
-    in_text = found("text", terms.join(short, "id", "left_semi"))
+    in_text = found(docs.select("doc_id", X.norm_text("text").alias("norm")), terms.join(short, "id", "left_semi"))
     rows = union_all([graph.withColumn("by", F.lit(0)), in_title.withColumn("by", F.lit(1)), in_text.withColumn("by", F.lit(2))])
     rows = rows.groupBy("id", "doc_id").agg(F.min("by").alias("by"))
     facts = want.join(rows.groupBy("id").agg(F.count("*").alias("n_docs"), F.max("by").alias("last")), "id", "left").fillna(0, ["n_docs"])
-    method = F.when(F.col("n_docs") < min_docs, "all").when(F.col("last") == 0, "graph mentions").when(F.col("last") == 1, "keyword (title)").otherwise("keyword (text)")
+    method = F.when(F.col("n_docs") < min_docs, "all").when(F.col("last") == 0, "graph mentions").when(F.col("last") == 1, "keyword (title/terms)").otherwise("keyword (title/terms/text)")
     facts = facts.select("id", method.alias("method"), "n_docs")
     return rows.join(facts.where("method <> 'all'"), "id", "left_semi").select("id", "doc_id"), facts
 

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from lodestone.operators import answers as A
+from lodestone.operators import dictionary as D
 from lodestone.operators import matching as M
 from lodestone.operators import retrieval as H
 from lodestone.operators import textindex as T
@@ -157,7 +158,9 @@ def test_scope_falls_back_step_by_step(frame, rows):
     men = frame([(i, "a") for i in range(3)] + [(9, "b")], "doc_id int, entity string")
     docs = frame([(i, t, x) for i, (t, x) in enumerate([("", "")] * 4 + [("Betatitis study", ""), ("On betatitises", ""), ("", "gammatosis"), ("", "gammatosis"), ("", "a gammatosis"), ("", "")])], "doc_id int, title string, text string")
     names = frame([("b", "Betatitis"), ("c", "Gammatosis (disease)"), ("d", "Nowhere")], "id string, name string")
-    assert rows(H.entity_scope(ids, fam, men, docs, names)[1]) == [("a", "graph mentions", 3), ("b", "keyword (title)", 3), ("c", "keyword (text)", 3), ("d", "all", 0)]
+    assert rows(H.entity_scope(ids, fam, men, docs, names)[1]) == [("a", "graph mentions", 3), ("b", "keyword (title/terms)", 3), ("c", "keyword (title/terms/text)", 3), ("d", "all", 0)]
+    heads = frame([(9, "Gammatosis, other"), (0, "gammatoses")], "doc_id int, term string")
+    assert rows(H.entity_scope(ids, fam, men, docs, names, headings=heads)[0], "id", "doc_id")[-4:] == [("c", 6), ("c", 7), ("c", 8), ("c", 9)]
 
 
 def test_phrases_inside_longer_ones_do_not_count(frame, rows):
@@ -165,6 +168,8 @@ def test_phrases_inside_longer_ones_do_not_count(frame, rows):
                  ("shared name", "z2", False), ("shared name", "z3", False), ("shared name", "z4", False), ("short", "s", True)], "text string, entity string, is_label boolean")
     docs = frame([(1, "Infantile Krabbe disease, shared name"), (2, "krabbe disease variant short"), (3, "")], "doc_id int, text string")
     got = rows(M.match_phrases(docs, M.phrase_dictionary(dic)), "doc_id", "entity")
+    assert got == [(1, "i"), (1, "z1"), (1, "z2"), (1, "z3"), (1, "z4"), (2, "k"), (2, "v")]
+    got = rows(M.match_phrases(docs, M.phrase_dictionary(dic, max_targets=3)), "doc_id", "entity")
     assert got == [(1, "i"), (1, "z1"), (1, "z2"), (1, "z3"), (2, "k"), (2, "v")]
 
 
@@ -192,3 +197,25 @@ def test_rewrites(frame):
                 ("new", src, "Orphanet lists the gene GALC for this condition in Norway")], "pair_id string, src string, out string")
     got = {r.pair_id: r.reasons for r in A.audit_rewrites(df).collect()}
     assert got == {"ok": "", "neg": "negation", "new": "new_terms"}
+
+
+@pytest.mark.parametrize("prefix", [False, True])
+def test_names_in_texts(frame, prefix):
+    rng = random.Random(2)
+    words = ["alpha", "alphabet", "alphabets", "be", "beta", "betamax", "c", "gamma", "gammas", "delta", "d"]
+    names = {" ".join(rng.choice(words) for _ in range(rng.randrange(1, 5))) for _ in range(150)} | {"alpha be", "be be be", "gammas"}
+    texts = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(0, 25)))) for i in range(80)] + [(80, None), (81, " ".join(words) * 300)]
+
+    def holds(text, name):
+        if prefix:
+            return len(name) >= 6 and f" {name}" in f" {text}"
+        return f" {name} " in f" {text} "
+
+    want = {(i, n) for i, t in texts for n in names if t and holds(t, n)}
+    for per_part, per_task in ((7, 10), (10_000, 10_000)):
+        got = D.find_names(frame(texts, "doc_id long, norm string"), frame([(n,) for n in names] + [(None,), ("",), ("alpha be",)], "phrase string"), prefix=prefix, per_part=per_part, per_task=per_task)
+        assert got.count() == len(want) and {tuple(r) for r in got.collect()} == want
+    none = D.find_names(frame([], "doc_id long, norm string"), frame([("alpha beta",)], "phrase string"), prefix=prefix)
+    assert none.count() == 0
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan
