@@ -319,7 +319,7 @@ def people(t):
 @query("match_officials", f"""
 WITH h AS (SELECT trial, pos, count(DISTINCT cand) AS n_hit, min(cand) AS hit FROM (SELECT trial, pos, ln, ini, unnest({IW.format(norm_sql('affiliation'))}) AS word FROM x_off) o
   JOIN x_pword p ON p.ln = o.ln AND p.ini = o.ini AND p.word = o.word GROUP BY trial, pos)
-SELECT o.trial, o.pos, CASE WHEN n_hit = 1 THEN hit WHEN n_cand = 1 THEN only_one ELSE 'AUTH:ct|' || o.ln || '|' || o.ini || '|' || replace(substr({norm_sql('affiliation')}, 1, 40), ' ', '-') END AS person,
+SELECT o.trial, o.pos, CASE WHEN n_hit = 1 THEN hit WHEN n_cand = 1 THEN only_one ELSE 'AUTH:ct|' || o.ln || '|' || o.ini || '|' || replace({norm_sql('affiliation')}, ' ', '-') END AS person,
   CASE WHEN n_hit = 1 THEN 'name + affiliation' WHEN n_cand = 1 THEN 'name' ELSE 'new' END AS how,
   CAST(CASE WHEN n_hit = 1 THEN 0.85 WHEN n_cand = 1 THEN 0.7 ELSE 0.9 END AS DOUBLE) AS confidence
 FROM x_off o LEFT JOIN h ON h.trial = o.trial AND h.pos = o.pos LEFT JOIN x_pname n ON n.ln = o.ln AND n.ini = o.ini""")

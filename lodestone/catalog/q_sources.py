@@ -6,8 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from lodestone.catalog import built as B
 from lodestone.catalog.registry import query, view
 from lodestone.common import shared_dir
+from lodestone.operators import similarity as M
 from lodestone.sources import files as S
 from lodestone.streaming import landing as L
 
@@ -140,6 +142,18 @@ def _(t):
     return S.read_graph_tables(t.spark, path).groupBy("rel").agg(F.count("*").alias("n"), F.countDistinct("src").alias("n_src"))
 
 
+@query("replace_relation", """SELECT rel, count(*) AS n, round(sum(confidence), 3) AS total FROM (SELECT rel, confidence FROM v_edge_raw UNION ALL SELECT 'similar_to', score FROM x_top) e GROUP BY rel""")
+def _(t):
+    """A former generation of similar pairs gives way to the present one, the other relations stay as they are."""
+    path = folder(t, "graph")
+    columns = ["src", "dst", "rel", "source", "source_id", "date", "confidence", "evidence_type"]
+    similar = M.similarity_edges(B.top(t), "2001-01-01").select(*columns)
+    S.write_graph_tables(t("v_edge_raw").select(*columns).unionByName(similar.where("confidence > 0.3")), path)
+    S.write_graph_tables(similar, path, replace=True)
+    S.remove_old_generations(t.spark, path, keep=1)
+    return S.read_graph_tables(t.spark, path).groupBy("rel").agg(F.count("*").alias("n"), F.round(F.sum("confidence"), 3).alias("total"))
+
+
 @query("source_manifest", """SELECT 'orders' AS source, count(*) AS records, substr(CAST(max(o_orderdate) AS VARCHAR), 1, 10) AS latest FROM orders UNION ALL SELECT 'lineitem', count(*), substr(CAST(max(l_shipdate) AS VARCHAR), 1, 10) FROM lineitem
 UNION ALL SELECT 'part', count(*), '2001-01-01' FROM part UNION ALL SELECT 'documents', count(*), '2001-01-01' FROM documents""")
 def _(t):

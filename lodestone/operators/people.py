@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.common import min_row
+from lodestone.common import cut, min_row
 from lodestone.functions import rules as R
 from lodestone.functions import values as V
 from lodestone.functions.text import ascii_fold, norm_text
@@ -27,6 +27,8 @@ def disambiguate_authors(authors: DataFrame) -> DataFrame:
         R.initial_key("initials", "fore").alias("ini"), R.forename("fore").alias("fn"), R.country_of("affiliation").alias("country"),
         F.trim(F.regexp_replace(F.coalesce("orcid", F.lit("")), r"^https?://orcid.org/", "")).alias("orcid"),
     ).where("ln <> '' and ini <> ''").withColumn("at", F.struct("pmid", "pos"))
+    # keys come from Python; written once, read by all that follows
+    rows = cut(rows, "authors")
     name = ["ln", "ini"]
     ids = rows.where("orcid <> ''").groupBy(*name, "orcid").agg(
         F.min_by("fn", "at").alias("fn_id"), F.min_by(F.when(F.col("country") != "", F.col("country")), F.when(F.col("country") != "", F.col("at"))).alias("country_id"))
@@ -77,15 +79,20 @@ def author_edges(rows: DataFrame, people: DataFrame) -> DataFrame:
 
 
 def _candidates(listed: DataFrame, people: DataFrame, keys: list[str]) -> DataFrame:
-    """Per listed person: number of people of the same surname and initial, the only one of them, number of those whose
-    affiliation overlaps, and the only one of these. Counts are aggregated, so a common name costs no list."""
+    """Per listed person: number of people of the same surname and initial, the only one of them, and the only one of those whose
+    affiliation overlaps (`hit`, null if there is none or more than one).
+
+    People are never paired with listed ones. Of every (surname, initial, word) the least and the greatest person are kept; a listed
+    person has one hit exactly when these agree over all its words. So a common name costs no more than its words.
+    """
     known = people.select("ln", "ini", F.col("id").alias("cand"), F.col("affiliation").alias("cand_aff"), F.col("country").alias("cand_country"))
     names = known.groupBy("ln", "ini").agg(F.count("*").alias("n_cand"), F.min("cand").alias("only"), F.min("cand_country").alias("only_country"))
     words = known.select("ln", "ini", "cand", F.explode(F.array_distinct(F.split(norm_text(ascii_fold("cand_aff")), " "))).alias("word"))
+    ends = words.groupBy("ln", "ini", "word").agg(F.min("cand").alias("least"), F.max("cand").alias("most"))
     wanted = listed.select(*keys, "ln", "ini", F.explode(R.institution_words("affiliation")).alias("word"))
-    hits = wanted.join(words, ["ln", "ini", "word"]).select(*keys, "cand").distinct().groupBy(*keys).agg(
-        F.count("*").alias("n_hit"), F.min("cand").alias("hit"))
-    return listed.join(names, ["ln", "ini"], "left").join(hits, keys, "left").fillna(0, ["n_cand", "n_hit"])
+    hits = wanted.join(ends, ["ln", "ini", "word"]).groupBy(*keys).agg(F.min("least").alias("least"), F.max("most").alias("most"))
+    hits = hits.where("least = most").select(*keys, F.col("least").alias("hit"))
+    return listed.join(names, ["ln", "ini"], "left").join(hits, keys, "left").fillna(0, ["n_cand"])
 
 
 def match_officials(officials: DataFrame, people: DataFrame) -> DataFrame:
@@ -100,11 +107,11 @@ def match_officials(officials: DataFrame, people: DataFrame) -> DataFrame:
     rows = rows.select("trial", "pos", "raw", "affiliation", R.surname_key(F.element_at("w", -1)).alias("ln"),
                        F.lower(F.substring(F.element_at("w", 1), 1, 1)).alias("ini"))
     both = _candidates(rows, people, ["trial", "pos"])
-    new = F.concat(F.lit("AUTH:ct|"), F.concat_ws("|", "ln", "ini", F.replace(F.substring(norm_text("affiliation"), 1, 40), F.lit(" "), F.lit("-"))))
+    new = F.concat(F.lit("AUTH:ct|"), F.concat_ws("|", "ln", "ini", F.replace(norm_text("affiliation"), F.lit(" "), F.lit("-"))))
     return both.select(
-        "trial", "pos", F.when(F.col("n_hit") == 1, F.col("hit")).when(F.col("n_cand") == 1, F.col("only")).otherwise(new).alias("person"),
-        F.when(F.col("n_hit") == 1, "name + affiliation").when(F.col("n_cand") == 1, "name").otherwise("new").alias("how"),
-        F.when(F.col("n_hit") == 1, 0.85).when(F.col("n_cand") == 1, 0.7).otherwise(0.9).alias("confidence"))
+        "trial", "pos", F.when(F.col("hit").isNotNull(), F.col("hit")).when(F.col("n_cand") == 1, F.col("only")).otherwise(new).alias("person"),
+        F.when(F.col("hit").isNotNull(), "name + affiliation").when(F.col("n_cand") == 1, "name").otherwise("new").alias("how"),
+        F.when(F.col("hit").isNotNull(), 0.85).when(F.col("n_cand") == 1, 0.7).otherwise(0.9).alias("confidence"))
 
 
 def match_principal_investigators(leads: DataFrame, people: DataFrame, home: str = "usa") -> DataFrame:
@@ -120,7 +127,7 @@ def match_principal_investigators(leads: DataFrame, people: DataFrame, home: str
     near = (F.col("n_cand") == 1) & F.col("only_country").isin(home, "")
     return both.select(
         "grant_id", "profile",
-        F.when(F.col("n_hit") == 1, F.col("hit")).when(near, F.col("only")).otherwise(F.concat(F.lit("AUTH:nih|"), "profile")).alias("person"),
-        F.when(F.col("n_hit") == 1, "name + affiliation match to existing researcher").when(near, "name match to existing researcher")
+        F.when(F.col("hit").isNotNull(), F.col("hit")).when(near, F.col("only")).otherwise(F.concat(F.lit("AUTH:nih|"), "profile")).alias("person"),
+        F.when(F.col("hit").isNotNull(), "name + affiliation match to existing researcher").when(near, "name match to existing researcher")
         .otherwise("profile id").alias("how"),
-        F.when(F.col("n_hit") == 1, 0.8).when(near, 0.6).otherwise(0.95).alias("confidence"))
+        F.when(F.col("hit").isNotNull(), 0.8).when(near, 0.6).otherwise(0.95).alias("confidence"))

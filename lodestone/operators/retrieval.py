@@ -155,20 +155,23 @@ def retrieval_metrics(hits: DataFrame, relevant: DataFrame, classes: DataFrame,
     return rows.groupBy("class").agg(*measures).unionByName(rows.agg(*measures).withColumn("class", F.lit("all")))
 
 
-def calibrate_floor(scores: DataFrame, min_rate: float = 1.0, margin: float = 0.5) -> DataFrame:
+def calibrate_floor(scores: DataFrame, min_rate: float = 1.0, margin: float = 0.5, parts: int | None = None) -> DataFrame:
     """`(floor, floor_at)`: the highest floor that keeps `min_rate` of the positives, midway to the next lower score and at
     least `margin` below the lowest positive kept. `scores(positive, score)`.
 
-    The position of the lowest kept positive is found from counts per score, not by numbering all rows.
+    The lowest kept positive is found by its position: scores are dealt into ranges of about equal size, whatever their scale,
+    the counts of the ranges say in which one the position falls, and only that one is numbered.
     """
     pos = scores.where("positive").groupBy("score").agg(F.count("*").alias("n"))
+    dealt = pos.repartitionByRange(*([parts] if parts else []), "score").withColumn("part", F.spark_partition_id())
+    dealt = cut(dealt, "ranges")
     total = scores.select(F.count_if("positive")).scalar()
     drop = F.floor(total * (1 - min_rate) + 1e-9)
-    run = pos.withColumn("bucket", F.floor(F.col("score")))
-    per_bucket = run.groupBy("bucket").agg(F.sum("n").alias("m"))
-    before = per_bucket.withColumn("before", F.sum("m").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)))
-    placed = run.join(before.select("bucket", F.coalesce("before", F.lit(0)).alias("before")), "bucket").withColumn(
-        "upto", F.col("before") + F.sum("n").over(Window.partitionBy("bucket").orderBy("score")))
+    # one row per range
+    sizes = dealt.groupBy("part").agg(F.sum("n").alias("m"))
+    ends = sizes.withColumn("upto", F.sum("m").over(Window.orderBy("part"))).select("part", (F.col("upto") - F.col("m")).alias("before"), "upto")
+    here = ends.where((F.col("before") <= drop) & (F.col("upto") > drop))
+    placed = dealt.join(here, "part").withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("part").orderBy("score")))
     floor_at = placed.where(F.col("upto") > drop).select(F.min("score")).scalar()
     facts = scores.groupBy().agg(F.max(F.when(F.col("score") < floor_at, F.col("score"))).alias("lower"), F.first(F.lit(1)).alias("one"))
     facts = facts.withColumn("floor_at", floor_at)

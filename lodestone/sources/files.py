@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -217,23 +218,71 @@ def flatten_grants(raw: DataFrame) -> DataFrame:
         "project_num", "fy", "f.*", "queries")
 
 
-# --- tables at rest -----------------------------------------------------------------------------------------------------------
-def write_graph_tables(df: DataFrame, path: str, by: str = "rel") -> str:
-    """Write a new version next to the current one and point to it, so that a reader sees the old table or the new one.
+# fixed values: characters that Spark escapes in the name of a partition's folder, besides control characters
+ESCAPED = "\"#%'*/:=?\\{}[]^\x7f"
 
-    The pointer is a tiny table written after the data; the newest one counts.
-    """
-    spark = df.sparkSession
-    version = f"v-{uuid.uuid4().hex}"
-    df.write.partitionBy(by).parquet(f"{path}/data/{version}")
-    spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("at")).write.mode("append").parquet(f"{path}/current")
-    return version
+
+def _folder(by: str, value: str, gen: str) -> str:
+    return f"{by}=" + "".join(f"%{ord(c):02X}" if c in ESCAPED or ord(c) < 32 else c for c in value) + f"/gen={gen}"
 
 
-def read_graph_tables(spark: SparkSession, path: str) -> DataFrame:
-    """The version written last."""
-    version = spark.read.parquet(f"{path}/current").agg(F.max_by("version", "at")).first()[0]
-    return spark.read.parquet(f"{path}/data/{version}")
+# --- tables at rest -----------------------------------------------------------------------------------------------------------
+def _manifest(spark: SparkSession, path: str) -> tuple[int, dict[str, str]]:
+    """The newest version number and its generation per relation; few rows, one per relation."""
+    try:
+        rows = spark.read.schema("rel string, gen string, version long").parquet(f"{path}/manifest")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return 0, {}
+    newest = rows.agg(F.max("version")).first()[0]
+    return newest or 0, {r.rel: r.gen for r in rows.where(F.col("version") == F.lit(newest)).where("rel IS NOT NULL").collect()}
+
+
+def write_graph_tables(df: DataFrame, path: str, by: str = "rel", replace: bool = False) -> int:
+    """Write new generations of the relations in `df` and point to them in one step; returns the new version number.
+
+    Files lie in `data/<by>=.../gen=...`, and the manifest of a version, written last and as one file, names one generation per
+    relation. A reader therefore sees one version throughout, whatever is being written. With `replace`, relations that `df`
+    lacks stay as they are, else they are no longer part of the table. A second writer that ends at the same version number
+    fails. Rows without a relation are left out. Parts are of even size whatever the size of a relation. Old files stay until `remove_old_generations`.
+    """
+    spark = df.sparkSession
+    number, known = _manifest(spark, path)
+    gen = f"{number + 1:08d}-{uuid.uuid4().hex[:8]}"
+    df = df.where(F.col(by).isNotNull())
+    df.withColumn("gen", F.lit(gen)).hint("rebalance", by).write.mode("append").partitionBy(by, "gen").parquet(f"{path}/data")
+    written = df.select(F.col(by).cast("string").alias("rel")).distinct().withColumn("gen", F.lit(gen))
+    held = {r.rel: r.gen for r in written.collect()}
+    mapping = {**(known if replace else {}), **held}
+    rows = spark.createDataFrame(list(mapping.items()) or [(None, None)], "rel string, gen string")
+    rows.coalesce(1).write.mode("errorifexists").parquet(f"{path}/manifest/version={number + 1}")
+    return number + 1
+
+
+def read_graph_tables(spark: SparkSession, path: str, by: str = "rel", version: int | None = None) -> DataFrame:
+    """The newest version, or a given one; a filter on `by` only reads the relations it names."""
+    if version is None:
+        mapping = _manifest(spark, path)[1]
+    else:
+        rows = spark.read.schema("rel string, gen string").parquet(f"{path}/manifest/version={version}")
+        mapping = {r.rel: r.gen for r in rows.where("rel IS NOT NULL").collect()}
+    if not mapping:
+        return spark.read.option("basePath", f"{path}/data").parquet(f"{path}/data").drop("gen").limit(0)
+    parts = [f"{path}/data/{_folder(by, rel, gen)}" for rel, gen in sorted(mapping.items())]
+    return spark.read.option("basePath", f"{path}/data").parquet(*parts).drop("gen")
+
+
+def remove_old_generations(spark: SparkSession, path: str, by: str = "rel", keep: int = 2) -> int:
+    """Empty the generations that none of the newest `keep` versions names; returns how many. Readers of older versions must have ended."""
+    rows = spark.read.schema("rel string, gen string, version long").parquet(f"{path}/manifest").where("rel IS NOT NULL")
+    newest = rows.agg(F.max("version")).first()[0] or 0
+    old = rows.groupBy("rel", "gen").agg(F.max("version").alias("last")).where(F.col("last") <= newest - keep)
+    gone = [(r.rel, r.gen) for r in old.collect()]
+    for rel, gen in gone:
+        at = f"{path}/data/{_folder(by, rel, gen)}"
+        spark.read.parquet(at).limit(0).write.mode("overwrite").parquet(at + "/")
+    return len(gone)
 
 
 def source_manifest(tables: dict[str, tuple[DataFrame, str | None]], retrieved: str) -> DataFrame:

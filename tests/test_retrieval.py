@@ -140,6 +140,13 @@ def test_calibration(frame):
         low = max(below) if below else at - 1
         return round(min((at + low) / 2, at - margin), 6)
 
+    # scores within one integer are spread over ranges too
+    rng = random.Random(3)
+    near = sorted(round(rng.random(), 4) for _ in range(3000))
+    small = frame([(i % 3 > 0, x) for i, x in enumerate(near)], "positive boolean, score double")
+    parts = [x for i, x in enumerate(near) if i % 3], [x for i, x in enumerate(near) if i % 3 == 0]
+    for rate in (1.0, 0.9, 0.333):
+        assert round(H.calibrate_floor(small, rate, 0.01, 16).first().floor, 6) == plain(*parts, rate, 0.01)
     pos, neg = [3.0, 1.0, 2.0, 2.0, 5.5], [0.5, 1.5, 9.0]
     df = frame([(True, p) for p in pos] + [(False, n) for n in neg], "positive boolean, score double")
     for rate, margin in ((1.0, 0.1), (0.8, 0.1), (0.6, 0.5)):
