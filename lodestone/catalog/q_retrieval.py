@@ -46,6 +46,13 @@ def _(t):
     return r6(H.term_weights(H.build_postings(t("documents")), t("documents").select(F.count("*")).scalar()), "idf")
 
 
+@query("text_index", f"""SELECT term, df, round(top, 6) AS top FROM (SELECT term, max(tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (SELECT avg(len({TOK})) FROM documents)))) AS top FROM x_post GROUP BY term) p
+JOIN (SELECT term AS w, df FROM x_tw) q ON w = term""")
+def _(t):
+    """Per term its documents and the greatest impact over all blocks."""
+    return r6(index(t).bounds.groupBy("term").agg(F.max("top").alias("top")).join(index(t).terms.select("term", "df"), "term"), "top")
+
+
 @query("bm25_topk", "SELECT query_id, doc_id, round(score, 6) AS score, rank FROM x_bmk")
 def _(t):
     return r6(H.bm25_topk(questions(t), index(t), 50), "score")

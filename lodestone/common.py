@@ -37,6 +37,12 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over as many partitions as there are cores, if it comes in fewer, as a table of one small file does. Larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def cols(names) -> list[str]:
     return [names] if isinstance(names, str) else list(names)
 

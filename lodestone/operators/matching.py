@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.common import cut, min_row, top_n, union_all
+from lodestone.common import cut, min_row, spread, top_n, union_all
 from lodestone.functions import rules as R
 from lodestone.functions import values as V
 from lodestone.functions.text import norm_text
@@ -61,7 +61,7 @@ def match_phrases(texts: DataFrame, phrases: DataFrame) -> DataFrame:
     text are not compared with each other.
     """
     known = phrases.select("phrase").distinct()
-    found = cut(find_names(texts.select("doc_id", norm_text("text").alias("norm")), known), "found")
+    found = cut(find_names(spread(texts.select("doc_id", "text")).select("doc_id", norm_text("text").alias("norm")), known), "found")
     inside = find_names(known.select(F.col("phrase").alias("longer"), F.col("phrase").alias("norm")), known, "longer").where("longer <> phrase")
     parts = found.withColumnRenamed("phrase", "longer").join(cut(inside, "inside"), "longer").select("doc_id", "phrase").distinct()
     kept = found.join(parts, ["doc_id", "phrase"], "left_anti")
