@@ -305,6 +305,20 @@ def _(t):
     return P.readiness(support(t), path(t))
 
 
+REASONS = [("mechanism", "mechanism", "1"), ("NOT mechanism", "no_mechanism", "1"), ("TRUE", "kinds_of_evidence", "n_kinds"), ("co_papers >= 3", "common_papers", "co_papers"), ("co_papers = 0", "no_common_paper", "1"),
+           ("n_mixed > 0", "mixed_edges", "n_mixed"), ("n_contra > 0", "counter_evidence", "n_contra"), ("n_weak > 0", "weak_edges", "n_weak"), ("below_threshold", "below_threshold", "1"),
+           ("n_stopped > 0", "stopped_assets", "n_stopped"), ("n_assets > 0 AND n_stopped = 0", "assets", "n_assets")]
+view("x_rfact", """SELECT s.a, s.b, supported, mechanism, s.n_kinds, co_papers, coalesce(n_mixed, 0) AS n_mixed, coalesce(n_weak, 0) AS n_weak, coalesce(n_contra, 0) AS n_contra, t.below_threshold, coalesce(n_assets, 0) AS n_assets, coalesce(n_stopped, 0) AS n_stopped
+FROM x_support s LEFT JOIN x_path p ON p.a = s.a AND p.b = s.b LEFT JOIN x_top t ON t.a = s.a AND t.b = s.b
+LEFT JOIN (SELECT a, b, count(*) AS n_assets, count(*) FILTER (WHERE status IN ('TERMINATED', 'WITHDRAWN', 'SUSPENDED')) AS n_stopped FROM x_asset GROUP BY a, b) c ON c.a = s.a AND c.b = s.b""")
+
+
+@query("readiness_reasons", "SELECT a, b, CAST(row_number() OVER (PARTITION BY a, b ORDER BY o) - 1 AS INT) AS pos, reason, CAST(n AS BIGINT) AS n FROM (SELECT a, b, 0 AS o, 'no_rule_met' AS reason, 1 AS n FROM x_rfact WHERE NOT supported"
+       + "".join(f" UNION ALL SELECT a, b, {i}, '{name}', {n} FROM x_rfact WHERE supported AND ({when})" for i, (when, name, n) in enumerate(REASONS, 1)) + ") u")
+def _(t):
+    return P.readiness_reasons(support(t), path(t), B.top(t), assets(t))
+
+
 view("x_caveat", """SELECT a, b, 1 AS pos, 'no_active_grant_a' AS kind, '' AS ref FROM x_fcount WHERE gap_a UNION ALL SELECT a, b, 2, 'no_active_grant_b', '' FROM x_fcount WHERE gap_b
 UNION ALL SELECT a, b, 3, 'counter_evidence', CAST(n_contra AS VARCHAR) FROM x_path WHERE n_contra > 0
 UNION ALL SELECT a, b, CAST(ap + 3 AS INT), 'stopped_asset', trial FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY part, pos) AS ap FROM x_asset WHERE status IN ('TERMINATED', 'WITHDRAWN', 'SUSPENDED')) u WHERE ap <= 2

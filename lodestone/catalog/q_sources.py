@@ -48,12 +48,13 @@ def _(t):
 
 
 @query("flatten_trials", """SELECT id AS nct, title, status, start, why_stopped, study_type, registry_flag AS patient_registry, model AS observational_model, intervention, n_conditions AS enrollment,
-  CASE WHEN status = 'RECRUITING' THEN 'a|b' ELSE 'a' END AS groups, CASE WHEN status = 'RECRUITING' THEN 'q1|q2' ELSE 'q1' END AS queries FROM v_trial""")
+  'T-' || num AS acronym, 'Eligible for ' || title AS eligibility, '18 Years' AS min_age, CASE WHEN status = 'RECRUITING' THEN '65 Years' END AS max_age, CASE WHEN status = 'RECRUITING' THEN 'a|b' ELSE 'a' END AS groups, CASE WHEN status = 'RECRUITING' THEN 'q1|q2' ELSE 'q1' END AS queries FROM v_trial""")
 def _(t):
     path = folder(t, "studies")
     w = lambda **kw: F.struct(*[c.alias(n) for n, c in kw.items()])
     c = F.col
-    sect = w(identificationModule=w(nctId=c("id"), briefTitle=c("title")),
+    sect = w(identificationModule=w(nctId=c("id"), briefTitle=c("title"), acronym=F.concat(F.lit("T-"), "num")),
+             eligibilityModule=w(eligibilityCriteria=F.concat(F.lit("Eligible for "), "title"), minimumAge=F.lit("18 Years"), maximumAge=F.when(c("status") == "RECRUITING", "65 Years")),
              statusModule=w(overallStatus=c("status"), whyStopped=c("why_stopped"), startDateStruct=w(date=c("start"))),
              designModule=w(studyType=c("study_type"), patientRegistry=c("registry_flag"), designInfo=w(observationalModel=c("model")), enrollmentInfo=w(count=c("n_conditions"))),
              armsInterventionsModule=w(interventions=F.array(w(type=F.lit("DRUG"), name=c("intervention")))))
@@ -62,22 +63,43 @@ def _(t):
     rows.unionByName(again).drop("status").write.json(path)
     out = S.flatten_trials(t.spark.read.schema(S.STUDY).json(path))
     return out.select("nct", "title", "status", "start", "why_stopped", "study_type", "patient_registry", "observational_model", c("interventions")[0]["name"].alias("intervention"),
-                      "enrollment", F.array_join("groups", "|").alias("groups"), F.array_join("queries", "|").alias("queries"))
+                      "enrollment", "acronym", "eligibility", "min_age", "max_age", F.array_join("groups", "|").alias("groups"), F.array_join("queries", "|").alias("queries"))
 
 
-@query("flatten_grants", """SELECT project_num, fy, core, title, abstract, round(amount, 2) AS amount, terms, start, active, queries FROM (
-  SELECT project_num, fy, core, 'Order ' || priority AS title, 'An abstract of ' || core AS abstract, amount, 'alpha|' || priority AS terms, start_date AS start, active,
-    CASE WHEN priority = '1-URGENT' THEN 'p1|p2' ELSE 'p1' END AS queries FROM v_project_raw) u""")
+LONG = "' and its consequences' || repeat(' in detail', 100)"
+
+
+@query("flatten_grants", f"""SELECT project_num, fy, core, title, abstract, round(amount, 2) AS amount, terms, start, active, queries, pis, org, city, state, country, ic, url, appl_id FROM (
+  SELECT project_num, fy, core, 'Order ' || priority AS title, 'An abstract of ' || core || {LONG} AS abstract, amount, 'alpha|' || priority AS terms, start_date AS start, active,
+    CASE WHEN priority = '1-URGENT' THEN 'p1|p2' ELSE 'p1' END AS queries, ckey || ':PI ' || ckey || ':true|' || (1000000000 + okey) || ':Second ' || okey || ':false' AS pis, 'Institute ' || ckey AS org, 'Town' AS city, 'MD' AS state, 'USA' AS country,
+    'NX' AS ic, 'https://example.org/' || project_num AS url, okey AS appl_id FROM v_project_raw) u""")
 def _(t):
+    people = F.transform("pis", lambda x: F.concat_ws(":", x["id"].cast("string"), x["name"], x["contact"].cast("string")))
+    return projects(t).select(
+        "project_num", "fy", "core", "title", "abstract", F.round("amount", 2).alias("amount"), F.array_join("terms", "|").alias("terms"), "start", "active", F.array_join("queries", "|").alias("queries"),
+        F.array_join(people, "|").alias("pis"), "org", "city", "state", "country", "ic", "url", "appl_id")
+
+
+def projects(t):
     path = folder(t, "projects")
+    w = lambda **kw: F.struct(*[c.alias(n) for n, c in kw.items()])
+    lead = w(profile_id=F.col("ckey"), full_name=F.concat(F.lit("PI "), "ckey"), is_contact_pi=F.lit(True))
+    other = w(profile_id=F.lit(1000000000) + F.col("okey"), full_name=F.concat(F.lit("Second "), "okey"), is_contact_pi=F.lit(None).cast("boolean"))
     rows = t("v_project_raw").select(
         "project_num", F.col("core").alias("core_project_num"), F.col("fy").alias("fiscal_year"), F.concat(F.lit("Order "), "priority").alias("project_title"),
-        F.concat(F.lit(" An abstract \n of  "), "core").alias("abstract_text"), F.col("amount").alias("award_amount"), F.concat(F.lit("<alpha><"), "priority", F.lit(">")).alias("terms"),
-        F.concat("start_date", F.lit("T00:00:00")).alias("project_start_date"), F.col("active").alias("is_active"), F.lit("p1").alias("query"))
+        F.concat(F.lit(" An abstract \n of  "), "core", F.expr(LONG)).alias("abstract_text"), F.col("amount").alias("award_amount"), F.concat(F.lit("<alpha><"), "priority", F.lit(">")).alias("terms"),
+        F.concat("start_date", F.lit("T00:00:00")).alias("project_start_date"), F.col("active").alias("is_active"), F.array(lead, other).alias("principal_investigators"),
+        w(org_name=F.concat(F.lit("Institute "), "ckey"), org_city=F.lit("Town"), org_state=F.lit("MD"), org_country=F.lit("USA")).alias("organization"),
+        w(abbreviation=F.lit("NX"), name=F.lit("Institute X")).alias("agency_ic_admin"), F.concat(F.lit("https://example.org/"), "project_num").alias("project_detail_url"), F.col("okey").alias("appl_id"), F.lit("p1").alias("query"))
     again = rows.where(F.col("project_title").endswith("1-URGENT")).withColumn("query", F.lit("p2"))
     rows.unionByName(again).write.json(path)
-    out = S.flatten_grants(t.spark.read.schema(S.PROJECT).json(path))
-    return out.select("project_num", "fy", "core", "title", "abstract", F.round("amount", 2).alias("amount"), F.array_join("terms", "|").alias("terms"), "start", "active", F.array_join("queries", "|").alias("queries"))
+    return S.flatten_grants(t.spark.read.schema(S.PROJECT).json(path))
+
+
+@query("grant_leads", """SELECT DISTINCT 'GRANT:' || core AS grant_id, CAST(ckey AS VARCHAR) AS profile, 'PI ' || ckey AS name, 'Institute ' || ckey AS affiliation FROM v_project_raw
+UNION SELECT DISTINCT 'GRANT:' || core, CAST(1000000000 + okey AS VARCHAR), 'Second ' || okey, 'Institute ' || ckey FROM v_project_raw""")
+def _(t):
+    return S.grant_leads(projects(t))
 
 
 @query("scan_variants", """SELECT substr(gene, 3) AS "GeneID", variation AS "VariationID", significance AS "ClinicalSignificance", count(*) AS n FROM v_variant_raw

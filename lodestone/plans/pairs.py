@@ -305,6 +305,25 @@ def readiness(support: DataFrame, path: DataFrame) -> DataFrame:
     return rows.select(*PAIR, level.alias("level"), "n_kinds", "n_path", "n_mixed", "n_weak", "n_contra")
 
 
+def readiness_reasons(support: DataFrame, path: DataFrame, similarity: DataFrame, assets: DataFrame) -> DataFrame:
+    """`(a, b, pos, reason, n)`: why a pair has its level, in order; `n` counts what the reason names.
+
+    A pair without support has the one reason that no rule was met. `similarity(a, b, below_threshold)`.
+    """
+    counts = assets.groupBy(*PAIR).agg(F.count("*").alias("n_assets"), F.count_if(F.upper("status").isin(V.STOPPED)).alias("n_stopped"))
+    rows = support.join(path, PAIR, "left").join(similarity.select(*PAIR, "below_threshold"), PAIR, "left").join(counts, PAIR, "left")
+    rows = rows.fillna(0, ["n_mixed", "n_weak", "n_contra", "n_assets", "n_stopped"]).fillna(False, ["below_threshold"])
+    c, one = F.col, F.lit(1)
+    found = [  # condition, reason, count
+        (c("mechanism"), "mechanism", one), (~c("mechanism"), "no_mechanism", one), (F.lit(True), "kinds_of_evidence", c("n_kinds")),
+        (c("co_papers") >= MIN_CO_PAPERS, "common_papers", c("co_papers")), (c("co_papers") == 0, "no_common_paper", one), (c("n_mixed") > 0, "mixed_edges", c("n_mixed")),
+        (c("n_contra") > 0, "counter_evidence", c("n_contra")), (c("n_weak") > 0, "weak_edges", c("n_weak")), (c("below_threshold"), "below_threshold", one),
+        (c("n_stopped") > 0, "stopped_assets", c("n_stopped")), ((c("n_assets") > 0) & (c("n_stopped") == 0), "assets", c("n_assets"))]
+    none = F.array(F.struct(F.lit("no_rule_met").alias("reason"), one.cast("long").alias("n")))
+    listed = F.filter(F.array(*[F.when(when, F.struct(F.lit(name).alias("reason"), n.cast("long").alias("n"))) for when, name, n in found]), lambda x: x.isNotNull())
+    return rows.select(*PAIR, F.posexplode(F.when(c("supported"), listed).otherwise(none)).alias("pos", "r")).select(*PAIR, "pos", "r.reason", "r.n")
+
+
 def caveats(support: DataFrame, path: DataFrame, funding: DataFrame, assets: DataFrame, similarity: DataFrame) -> DataFrame:
     """`(a, b, pos, kind, ref)`: funding gaps, counter-evidence on the path, two stopped assets, a low score, no mechanism, no
     common paper. `similarity(a, b, below_threshold)`."""

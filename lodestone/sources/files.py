@@ -169,7 +169,7 @@ def load_entity_annotations(spark: SparkSession, path: str, kinds: list[str], ma
 
 
 STUDY = (
-    "protocolSection struct<identificationModule:struct<nctId:string,briefTitle:string,officialTitle:string>,statusModule:struct<overallStatus:string,whyStopped:string,"
+    "protocolSection struct<identificationModule:struct<nctId:string,briefTitle:string,officialTitle:string,acronym:string>,eligibilityModule:struct<eligibilityCriteria:string,minimumAge:string,maximumAge:string>,statusModule:struct<overallStatus:string,whyStopped:string,"
     "startDateStruct:struct<date:string>,completionDateStruct:struct<date:string>,lastUpdatePostDateStruct:struct<date:string>>,designModule:struct<studyType:string,phases:array<string>,"
     "patientRegistry:boolean,designInfo:struct<observationalModel:string>,enrollmentInfo:struct<count:int>>,conditionsModule:struct<conditions:array<string>,keywords:array<string>>,"
     "armsInterventionsModule:struct<interventions:array<struct<type:string,name:string>>>,descriptionModule:struct<briefSummary:string>,sponsorCollaboratorsModule:struct<leadSponsor:struct<name:string,class:string>,"
@@ -184,6 +184,8 @@ def flatten_trials(raw: DataFrame) -> DataFrame:
     arr = lambda c: F.coalesce(F.col(c), empty)
     flat = raw.select(
         F.col(f"{p}.identificationModule.nctId").alias("nct"), F.col(f"{p}.identificationModule.briefTitle").alias("title"), F.col(f"{p}.identificationModule.officialTitle").alias("official_title"),
+        F.col(f"{p}.identificationModule.acronym").alias("acronym"), F.coalesce(f"{p}.eligibilityModule.eligibilityCriteria", F.lit("")).alias("eligibility"),
+        F.col(f"{p}.eligibilityModule.minimumAge").alias("min_age"), F.col(f"{p}.eligibilityModule.maximumAge").alias("max_age"),
         F.col(f"{p}.statusModule.overallStatus").alias("status"), F.col(f"{p}.statusModule.startDateStruct.date").alias("start"), F.col(f"{p}.statusModule.completionDateStruct.date").alias("completion"),
         F.col(f"{p}.statusModule.lastUpdatePostDateStruct.date").alias("last_update"), F.col(f"{p}.statusModule.whyStopped").alias("why_stopped"), F.coalesce("hasResults", F.lit(False)).alias("has_results"),
         F.col(f"{p}.designModule.studyType").alias("study_type"), arr(f"{p}.designModule.phases").alias("phases"), F.coalesce(f"{p}.designModule.patientRegistry", F.lit(False)).alias("patient_registry"),
@@ -201,23 +203,38 @@ def flatten_trials(raw: DataFrame) -> DataFrame:
 
 
 PROJECT = ("project_num string, core_project_num string, fiscal_year int, project_title string, abstract_text string, award_amount double, terms string, project_start_date string,"
-                 "project_end_date string, is_active boolean, organization struct<org_name:string,org_city:string>, query string")
+           "project_end_date string, is_active boolean, project_detail_url string, activity_code string, appl_id long, organization struct<org_name:string,org_city:string,org_state:string,org_country:string>,"
+           "agency_ic_admin struct<abbreviation:string,name:string>, principal_investigators array<struct<profile_id:long,full_name:string,is_contact_pi:boolean>>, query string")
 
 
-def flatten_grants(raw: DataFrame) -> DataFrame:
-    """One row per project and year: abstract with single blanks, 700 characters, at most 60 concept terms, all queries listed."""
-    empty = F.array().cast("array<string>")
-    terms = F.slice(F.filter(F.split(F.regexp_replace(F.coalesce("terms", F.lit("")), "^[<>]+|[<>]+$", ""), "><"), lambda t: t != ""), 1, 60)
+def flatten_grants(raw: DataFrame, max_chars: int | None = None, max_terms: int | None = None) -> DataFrame:
+    """One row per project and year: abstract with single blanks, concept terms, investigators `pis(id, name, contact)`, place, institute,
+    all queries listed. Abstract and terms are whole unless limits are given."""
+    terms = F.filter(F.split(F.regexp_replace(F.coalesce("terms", F.lit("")), "^[<>]+|[<>]+$", ""), "><"), lambda t: t != "")
+    abstract = F.trim(F.regexp_replace(F.coalesce("abstract_text", F.lit("")), r"\s+", " "))
+    people = F.coalesce("principal_investigators", F.array().cast("array<struct<profile_id:bigint,full_name:string,is_contact_pi:boolean>>"))
+    pis = F.transform(people, lambda x: F.struct(x["profile_id"].alias("id"), x["full_name"].alias("name"), F.coalesce(x["is_contact_pi"], F.lit(False)).alias("contact")))
     flat = raw.select(
         "project_num", F.col("core_project_num").alias("core"), F.col("fiscal_year").alias("fy"), F.col("project_title").alias("title"),
-        F.substring(F.trim(F.regexp_replace(F.coalesce("abstract_text", F.lit("")), r"\s+", " ")), 1, 700).alias("abstract"), F.col("award_amount").alias("amount"),
-        F.coalesce(terms, empty).alias("terms"), F.substring(F.coalesce("project_start_date", F.lit("")), 1, 10).alias("start"),
-        F.substring(F.coalesce("project_end_date", F.lit("")), 1, 10).alias("end"), F.coalesce("is_active", F.lit(False)).alias("active"), F.col("organization.org_name").alias("org"), "query")
+        (abstract if max_chars is None else F.substring(abstract, 1, max_chars)).alias("abstract"), F.col("award_amount").alias("amount"),
+        (terms if max_terms is None else F.slice(terms, 1, max_terms)).alias("terms"), F.substring(F.coalesce("project_start_date", F.lit("")), 1, 10).alias("start"),
+        F.substring(F.coalesce("project_end_date", F.lit("")), 1, 10).alias("end"), F.coalesce("is_active", F.lit(False)).alias("active"), pis.alias("pis"),
+        *(F.col(f"organization.org_{c}").alias(n) for c, n in (("name", "org"), ("city", "city"), ("state", "state"), ("country", "country"))),
+        F.col("agency_ic_admin.abbreviation").alias("ic"), F.col("agency_ic_admin.name").alias("ic_name"), F.col("project_detail_url").alias("url"),
+        F.col("activity_code").alias("activity"), "appl_id", "query")
     facts = [c for c in flat.columns if c not in ("project_num", "fy", "query")]
     return flat.groupBy("project_num", "fy").agg(F.min_by(F.struct(*facts), F.struct("query", "title")).alias("f"), F.array_sort(F.collect_set("query")).alias("queries")).select(
         "project_num", "fy", "f.*", "queries")
 
 
+def grant_leads(grants: DataFrame) -> DataFrame:
+    """`(grant_id, profile, name, affiliation)`: the investigators of each core project once, under the name and organisation of their
+    latest year, from rows as `flatten_grants` gives them. Rows without core, investigator or profile are left out."""
+    rows = grants.where("core IS NOT NULL").select("core", "fy", "project_num", "org", F.explode("pis").alias("p")).where("p.id IS NOT NULL")
+    latest = rows.groupBy("core", F.col("p.id").alias("id")).agg(F.max_by(F.struct("p.name", "org"), F.struct("fy", "project_num")).alias("l"))
+    return latest.select(F.concat(F.lit("GRANT:"), "core").alias("grant_id"), F.col("id").cast("string").alias("profile"), "l.name", F.coalesce("l.org", F.lit("")).alias("affiliation"))
+
+
 # fixed values: characters that Spark escapes in the name of a partition's folder, besides control characters
 ESCAPED = "\"#%'*/:=?\\{}[]^\x7f"
 

@@ -50,7 +50,7 @@ def test_prefix_filter_loses_no_pair(frame, measure, floor):
     bags = random_bags(7)
     w = weight if measure == "cosine" else lambda i: 1.0
     df = frame([(measure, e, i, w(i)) for e, bag in bags.items() for i in bag], "kind string, entity string, item string, w double")
-    for hub in (1, 8, 1000):
+    for hub in (1, 8, 1000) if floor == 0.45 else (8,):
         found = T.similar(df, {measure: 1.0}, floor, hub=hub, block=7).where(f"s_{measure} >= {floor}")
         got = {(r.a, r.b): round(r[f"s_{measure}"], 9) for r in found.collect()}
         assert got == brute(bags, measure, floor)
@@ -80,7 +80,7 @@ def brute_top(sets, groups, exclude, k, cross_k, floor, least):
     return {p: score[p] for p in out}
 
 
-@pytest.mark.parametrize("hub,block", [(2, 5), (10, 16), (40, 1000), (1000, 10)])
+@pytest.mark.parametrize("hub,block", [(2, 5), (10, 16), (1000, 10)])
 def test_top_pairs_equal_brute_force(frame, hub, block):
     sets = {"cosine": random_bags(1), "jaccard": random_bags(2, items=15), "ochiai": random_bags(3, n=40)}
     names = sorted(random_bags(1))
