@@ -16,8 +16,9 @@ _TABLES: dict[tuple[str, str], "Tables"] = {}
 
 
 def view(name: str, sql: str) -> None:
-    """Name a SQL fragment; fragments may read other named fragments and the given tables."""
-    VIEWS[name] = sql
+    """Name a SQL fragment; fragments may read other named fragments and the given tables. A name stands for one fragment."""
+    if VIEWS.setdefault(name, sql) != sql:
+        raise ValueError(f"two fragments are named {name}")
 
 
 def needed(sql: str) -> list[str]:
