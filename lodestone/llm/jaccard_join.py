@@ -10,6 +10,9 @@ A token that one set alone holds can't be shared, so most documents have no head
 each member is compared with one leader, the first member of the list that shares most lists with it. Then members that are
 still in different components are compared with each other. Pairs inside a component need no test: they add no link
 between components. So a group of thousands of near copies costs about a comparison each.
+
+Candidates first meet as parity bitmaps of about a bit a token: every token flips one bit, so two bitmaps can't differ in more bits than
+the sets differ in tokens. Pairs that differ in too many are out, exactly; only sets of the pairs left are built again and shuffled.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ WHOLE = 64
 #: Share of the token space, in 256ths, whose frequencies are counted.
 REGION = 51
 GROUP_BYTES = 4 << 20
+#: Members of a leader to which one copy of its set travels.
+LED = 1000
 _FACTORS = np.random.default_rng(7).integers(1, 1 << 62, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -75,12 +80,38 @@ def _signature(s: np.ndarray) -> tuple[int, int]:
     return tuple(int(mix(s ^ f).sum(dtype=np.uint64).view(np.int64)) for f in _FACTORS[6:8])
 
 
+def parities(s: np.ndarray) -> bytes:
+    """A bitmap in which every token of a set flips one bit: as many bits as the next power of two above the set's size, 64 at least.
+
+    The upper half laid over the lower one (by exclusive or) is the bitmap of half the length.
+    """
+    size = 1 << max(6, int(len(s) - 1).bit_length())
+    flips = np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(flips.astype(np.uint8), bitorder="little").tobytes()
+
+
+def differing(x: bytes, y: bytes) -> int:
+    """Bits in which two bitmaps differ: at most as many as tokens that one set alone holds."""
+    a, b, bits = int.from_bytes(x, "little"), int.from_bytes(y, "little"), 8 * max(len(x), len(y))
+    if len(x) < len(y):
+        a, b = b, a
+    while bits > 8 * min(len(x), len(y)):
+        bits //= 2
+        a = (a >> bits) ^ (a & ((1 << bits) - 1))
+    return (a ^ b).bit_count()
+
+
+def most_differing(n: int, m: int, percent: int = PERCENT) -> int:
+    """How many tokens may stand in only one of two similar sets of n and m tokens."""
+    return n + m - 2 * -(-percent * (n + m) // (100 + percent))
+
+
 def _sets(width: int, percent: int):
     def run(batches_of):
         start = 0
         for batch in batches_of:
             m = batch.num_rows
-            sizes, region, first, second, tokens = [], [], [], [], []
+            sizes, region, first, second, tokens, bits = [], [], [], [], [], []
             for s in shingle_sets(texts_of(batch, "text"), width):
                 known = int(np.searchsorted(s, np.uint64(REGION << 56)))
                 a, b = _signature(s)
@@ -88,6 +119,7 @@ def _sets(width: int, percent: int):
                 region.append(known)
                 first.append(a)
                 second.append(b)
+                bits.append(parities(s))
                 tokens.append((s if len(s) <= WHOLE else s[: max(known, head(len(s), percent) + 1)]).view(np.int64))
             lengths = np.concatenate(([0], np.cumsum([len(t) for t in tokens])))
             yield pa.record_batch(
@@ -99,6 +131,7 @@ def _sets(width: int, percent: int):
                     "region": pa.array(region, pa.int64()),
                     "s1": pa.array(first, pa.int64()),
                     "s2": pa.array(second, pa.int64()),
+                    "bits": pa.array(bits, pa.binary()),
                     "tokens": pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int64), pa.int64())),
                 }
             )
@@ -128,13 +161,23 @@ def boundary(sizes: dict[int, int], percent: int = PERCENT) -> int:
     return min(costs, key=lambda x: (costs[x], x))
 
 
+def _near(percent: int):
+    def run(batches_of):
+        for batch in batches_of:
+            n, m, x, y = (batch.column(c).to_pylist() for c in ("n", "m", "x", "y"))
+            keep = pa.array([differing(x[i], y[i]) <= most_differing(n[i], m[i], percent) for i in range(len(n))], pa.bool_())
+            yield pa.record_batch([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
+
+    return run
+
+
 def _verify(percent: int):
     def run(batches_of):
         for batch in batches_of:
-            a, b = batch.column("sa").to_pylist(), batch.column("sb").to_pylist()
-            good = []
-            for x, y in zip(a, b, strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            left, right, good = batch.column("sa"), batch.column("sb"), []
+            for i in range(batch.num_rows):
+                # views of the batch, not copies
+                x, y = np.frombuffer(left[i].as_buffer(), np.uint64), np.frombuffer(right[i].as_buffer(), np.uint64)
                 both = np.sort(np.concatenate((x, y)))
                 shared = int((both[1:] == both[:-1]).sum())
                 good.append(100 * shared >= percent * (len(x) + len(y) - shared))
@@ -208,7 +251,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("th", F.xxhash64("text")).withColumn("text", F.col("text").cast("binary"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    sets = cut(rows.mapInArrow(_sets(width, percent), f"rid long, doc_id {kind}, th long, n long, region long, s1 long, s2 long, tokens array<long>"), "sets")
+    sets = cut(rows.mapInArrow(_sets(width, percent), f"rid long, doc_id {kind}, th long, n long, region long, s1 long, s2 long, bits binary, tokens array<long>"), "sets")
     classes = cut(sets.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("rid").alias("rep"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")), "classes")
     copies = cut(sets.select("rid", "n", "s1", "s2").join(classes.filter("rows > 1"), ["n", "s1", "s2"]).filter("rid <> rep").select("rid"), "copies")
     reps = sets.filter("n > 0").join(small_side(copies), "rid", "left_anti")
@@ -220,9 +263,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     led = lists.join(leaders, "key").filter((F.col("rid") != F.col("first.rid")) & alike(F.col("n"), F.col("first.n")))
     best = led.groupBy("rid", F.col("first.rid").alias("b")).agg(F.count(F.lit(1)).alias("c")).groupBy("rid").agg(F.max(F.struct("c", (-F.col("b")).alias("b"))).alias("best"))
     pairs = cut(best.select(F.col("rid").alias("a"), (-F.col("best.b")).alias("b")), "pairs")
-    members = cut(lists.select("rid").distinct(), "members")
-    full = cut(_sets_of(rows, sets, members, width), "full")
-    links = cut(_linked(pairs, full, percent), "links")
+    links = cut(_linked(rows, sets, pairs, width, percent), "links")
     joined = components(links)
 
     # what is left: members of one list that the first links leave in different components
@@ -233,7 +274,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ordered = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("rid") < F.col("b")))
     across = rest.filter("front").join(other, "key").filter(ordered & (F.col("component") != F.col("there")) & alike(F.col("n"), F.col("m")))
     more = across.select(F.col("rid").alias("a"), "b").distinct().join(pairs, ["a", "b"], "left_anti").join(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-    late = cut(_linked(more, full, percent), "links")
+    late = cut(_linked(rows, sets, more, width, percent), "links")
     if not late.isEmpty():
         joined = components(links.unionByName(late))
 
@@ -253,10 +294,25 @@ def _sets_of(rows: DataFrame, sets: DataFrame, members: DataFrame, width: int) -
     return found.join(wanted, ["s1", "s2"]).groupBy("rid").agg(F.first("items").alias("items"))
 
 
-def _linked(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar."""
-    with_a = pairs.join(full.withColumnsRenamed({"rid": "a", "items": "sa"}), "a")
-    both = with_a.join(full.withColumnsRenamed({"rid": "b", "items": "sb"}), "b")
+def plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose bitmaps do not rule them out."""
+    with_a = pairs.join(sets.select(F.col("rid").alias("a"), "n", F.col("bits").alias("x")), "a")
+    both = with_a.join(sets.select(F.col("rid").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y")), "b")
+    return both.mapInArrow(_near(percent), "a long, b long")
+
+
+def _linked(rows: DataFrame, sets: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar.
+
+    A set b goes to its partners once for about LED of them, and then to each by the partner's id, which spreads a hot b over the tasks.
+    """
+    left = cut(plausible(pairs, sets, percent), "plausible")
+    ends = cut(left.select(F.col("a").alias("rid")).unionByName(left.select(F.col("b").alias("rid"))).distinct(), "members")
+    full = cut(_sets_of(rows, sets, ends, width), "full")
+    held = left.groupBy("b").agg(F.count(F.lit(1)).alias("held"))
+    parted = left.join(held, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.ceil(F.col("held") / LED)).alias("part"))
+    copies = parted.select("b", "part").distinct().join(full.withColumnsRenamed({"rid": "b", "items": "sb"}), "b")
+    both = parted.join(copies, ["b", "part"]).join(full.withColumnsRenamed({"rid": "a", "items": "sa"}), "a")
     return both.select("a", "b", "sa", "sb").mapInArrow(_verify(percent), "a long, b long")
 
 

@@ -6,6 +6,7 @@ import re
 
 import corpus_pipeline
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,6 +88,30 @@ def test_near_duplicates_odd_rows(odd, none):
     assert jaccard_join.near_duplicates(none).count() == 0
 
 
+def test_bitmaps_never_rule_out_a_link():
+    rng = np.random.default_rng(4)
+    for n in (1, 3, 63, 64, 65, 90, 128, 129, 700, 5000):
+        for loss in (0, 0.02, 0.07, 0.15, 0.3, 0.9):
+            a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+            b = np.unique(np.concatenate((a[rng.random(n) >= loss], rng.integers(0, 1 << 63, int(loss * n / 2), dtype=np.uint64))))
+            shared = len(np.intersect1d(a, b))
+            apart = jaccard_join.differing(jaccard_join.parities(a), jaccard_join.parities(b))
+            assert apart <= len(a) + len(b) - 2 * shared and apart == jaccard_join.differing(jaccard_join.parities(b), jaccard_join.parities(a))
+            if 100 * shared >= 85 * (len(a) + len(b) - shared):
+                assert apart <= jaccard_join.most_differing(len(a), len(b))
+            if n >= 700 and loss == 0.9:
+                assert apart > jaccard_join.most_differing(len(a), len(b))
+
+
+def test_a_leader_of_thousands_travels_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "LED", 7)
+    rng = random.Random(19)
+    base = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join(mutated(rng, base, 1 + i % 3))) for i in range(150)] + [(i, " ".join(f"z{i}w{j}" for j in range(60))) for i in range(150, 170)]
+    found = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == slow_components(rows)
+
+
 def test_boundary_follows_the_cost():
     assert 1 <= jaccard_join.boundary({}) <= jaccard_join.WHOLE
     assert jaccard_join.boundary({10: 1000}) > 10 and jaccard_join.boundary({50: 1000}) <= 50
