@@ -7,7 +7,8 @@ tokens; their order is by frequency within a fifth of the token space (frequenci
 after it. The boundary between small and large is the size at which the expected cost is least.
 
 A token that one set alone holds can't be shared, so most documents have no head token left. Lists are scanned in two steps. First
-each member is compared with one leader, the first member of the list that shares most lists with it. Then members that are
+each member is compared with one leader, the first member of the list that shares most lists with it. In some further rounds every list
+draws a leader anew for its members of other components. Then members that are
 still in different components are compared with each other. Pairs inside a component need no test: they add no link
 between components. So a group of thousands of near copies costs about a comparison each.
 
@@ -37,6 +38,8 @@ REGION = 51
 GROUP_BYTES = 4 << 20
 #: Members of a leader to which one copy of its set travels.
 LED = 1000
+#: Rounds of leaders drawn anew before what is left of a list is compared pair by pair.
+TURNS = 3
 _FACTORS = np.random.default_rng(7).integers(1, 1 << 62, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -266,10 +269,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = cut(_linked(rows, sets, pairs, width, percent), "links")
     joined = components(links)
 
-    # what is left: members of one list that the first links leave in different components
-    labelled = cut(lists.join(joined.withColumnRenamed("node", "rid"), "rid", "left").withColumn("component", F.coalesce("component", "rid")), "labelled")
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("front").alias("any")).filter("lo < hi AND any").select("key")
-    rest = labelled.join(mixed, "key", "left_semi")
+    # members of one list that the links leave in different components meet leaders drawn anew, as long as that finds links
+    rest = _mixed(lists, joined)
+    for turn in range(TURNS):
+        drawn = rest.groupBy("key").agg(F.min(F.struct(F.xxhash64("rid", F.lit(turn)).alias("draw"), "rid", "n", "component")).alias("first"))
+        met = rest.join(drawn, "key").filter((F.col("component") != F.col("first.component")) & alike(F.col("n"), F.col("first.n")))
+        found = cut(_linked(rows, sets, met.select(F.col("rid").alias("a"), F.col("first.rid").alias("b")).distinct(), width, percent), "links")
+        if found.isEmpty():
+            break
+        links = cut(links.unionByName(found).distinct(), "links")
+        joined = components(links)
+        rest = _mixed(rest.drop("component"), joined)
+
+    # the others are compared with each other
     other = rest.select("key", F.col("rid").alias("b"), F.col("n").alias("m"), F.col("component").alias("there"))
     ordered = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("rid") < F.col("b")))
     across = rest.filter("front").join(other, "key").filter(ordered & (F.col("component") != F.col("there")) & alike(F.col("n"), F.col("m")))
@@ -286,6 +298,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def _mixed(lists: DataFrame, joined: DataFrame) -> DataFrame:
+    """The lists whose members lie in more than one component, with those components."""
+    labelled = cut(lists.join(joined.withColumnRenamed("node", "rid"), "rid", "left").withColumn("component", F.coalesce("component", "rid")), "labelled")
+    mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("front").alias("any")).filter("lo < hi AND any").select("key")
+    return labelled.join(mixed, "key", "left_semi")
+
+
 def _sets_of(rows: DataFrame, sets: DataFrame, members: DataFrame, width: int) -> DataFrame:
     """(rid, items): whole sets of the members of lists, from a second look at their texts alone."""
     wanted = cut(sets.join(members, "rid", "left_semi").select("rid", "th", "s1", "s2"), "wanted")
