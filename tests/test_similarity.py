@@ -169,3 +169,22 @@ def test_profile_modes(frame, rows):
     assert [r[1:] for r in rows(S.rollup_profile(bags, clo)) if r[0] == "p"] == [("i", "e1", "s1"), ("j", "e3", "s1"), ("k", "e4", "s2")]
     own = bags.union(frame([("p", "z", "e9")], "entity string, item string, edge_id string"))
     assert [r[1:] for r in rows(S.rollup_profile(own, clo, "own_or_subtypes")) if r[0] == "p"] == [("z", "e9", "p")]
+
+
+def test_a_huge_bag_is_not_expanded_for_small_ones(spark, frame, rows):
+    bags = frame([("huge", f"i{j}", j) for j in range(4000)] + [(f"e{i:03d}", f"i{i * 7 + j}", i) for i in range(200) for j in range(3)], "entity string, item string, num int")
+    pairs = frame([(f"e{i:03d}", "huge") for i in range(100)] + [("huge", f"z{i}") for i in range(5)] + [("e001", "e002")], "a string, b string")
+    pairs = pairs.unionByName(frame([("huge", f"e{i:03d}") for i in range(100, 200)], "a string, b string"))
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    store, none = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+    stages = lambda: {(x := found.apply(i)).stageId(): x.shuffleWriteRecords() for found in [store.stageList(None, False, False, none, None)] for i in range(found.size())}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        seen = set(stages())
+        got = rows(S.shared_of_pairs(pairs, bags), "a", "b", "item", "num_a", "num_b")
+        moved = sum(n for i, n in stages().items() if i not in seen)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    want = [(f"e{i:03d}", "huge", f"i{i * 7 + j}", i, i * 7 + j) for i in range(100) for j in range(3)]
+    want += [("huge", f"e{i:03d}", f"i{i * 7 + j}", i * 7 + j, i) for i in range(100, 200) for j in range(3)]
+    assert got == sorted(want) and moved < 100_000
