@@ -2,6 +2,7 @@ import json
 import random
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators import build as G
@@ -214,3 +215,14 @@ def test_many_people_of_one_name(frame):
     single = people.where("id <> 'p00007'")
     got = {r.trial: (r.person, r.how) for r in P.match_officials(officials, single).collect()}
     assert got["t3"] == ("p00006", "name + affiliation") and got["t4"][1] == "new"
+
+
+@pytest.mark.parametrize("name", ["author_identity", "lead_identity", "low_review", "stopped_study", "gene_reference_papers", "grant_match"])
+def test_rules_on_one_relation_form_no_similar_pairs(spark, monkeypatch, name):
+    from lodestone.catalog import q_evidence as Q
+    from lodestone.catalog.registry import Tables
+
+    monkeypatch.setattr(Q, "similar", lambda t: pytest.fail("similar pairs were formed"))
+    t = Tables(spark, "/root/testdata/sf0.001")
+    assert Q.FLAGS[name](t).count() > 0
+    assert "all_edges" not in t._built
