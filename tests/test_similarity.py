@@ -188,3 +188,17 @@ def test_a_huge_bag_is_not_expanded_for_small_ones(spark, frame, rows):
     want = [(f"e{i:03d}", "huge", f"i{i * 7 + j}", i, i * 7 + j) for i in range(100) for j in range(3)]
     want += [("huge", f"e{i:03d}", f"i{i * 7 + j}", i * 7 + j, i) for i in range(100, 200) for j in range(3)]
     assert got == sorted(want) and moved < 100_000
+
+
+def test_blocks_are_few_and_ties_go_to_the_earlier_name():
+    import numpy as np
+
+    # a block travels once for every block it meets: 60,000 entities must not lie in hundreds of blocks
+    assert 60_000 / T.BLOCK <= 10
+    rng = np.random.default_rng(5)
+    score = rng.integers(0, 6, (40, 90)) / 10
+    least = rng.integers(0, 6, 40) / 10
+    got = T._best(score, 7, least)
+    for row, mark, floor in zip(score, got, least, strict=True):
+        best = sorted(range(len(row)), key=lambda i: (-row[i], i))[:7]
+        assert set(np.flatnonzero(mark)) == {i for i in best if row[i] >= floor}
