@@ -5,6 +5,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.common import cut
 from lodestone.operators import build as G
 from lodestone.operators import communities as M
 from lodestone.operators import evidence as E
@@ -226,3 +227,35 @@ def test_rules_on_one_relation_form_no_similar_pairs(spark, monkeypatch, name):
     t = Tables(spark, "/root/testdata/sf0.001")
     assert Q.FLAGS[name](t).count() > 0
     assert "all_edges" not in t._built
+
+
+def test_broader_grants_read_only_the_heads_of_a_class(spark, frame, tmp_path, monkeypatch):
+    """Equal to a plain pass over all grants of all broader classes, of which no class hands on more than a head."""
+    rng = random.Random(4)
+    kids, classes = [f"S{i}" for i in range(30)], ["N0", "N1", "R0"]
+    up = [(k, c, 1) for i, k in enumerate(kids) for c in ([classes[i % 2]] if i % 3 else classes[:2])] + [(k, "R0", 2) for k in kids] + [("N0", "R0", 1), ("N1", "R0", 1)]
+    grants = [(f"G{i:03d}", rng.random() < 0.5, rng.randrange(1990, 1996), float(rng.randrange(5))) for i in range(200)]
+    funds = {(rng.choice(kids), g[0]) for g in grants for _ in range(4)} | {(c, g[0]) for c in classes for g in grants if rng.random() < 0.7}
+    # an id that owns the whole head of its class
+    order = lambda g: (not g[1], -g[2], -g[3], g[0])
+    funds |= {("S1", g[0]) for g in sorted(grants, key=order)[:40]}
+    want = set()
+    for i in kids:
+        own = {g for e, g in funds if e == i or any(a == i and c == e for c, a, _ in up)}
+        over = {}
+        for c, a, _ in up:
+            for e, g in funds if c == i else ():
+                if e == a and g not in own:
+                    over[g] = min(a, over.get(g, a))
+        best = sorted((g for g in grants if g[0] in over), key=order)[:8]
+        want |= {(i, g[0], over[g[0]], n + 1) for n, g in enumerate(best)}
+    heads = []
+    monkeypatch.setattr(L, "cut", lambda df, name: heads.append((name, cut(df, name))) or heads[-1][1])
+    ids = frame([(x,) for x in kids], "id string")
+    own = [(i, g) for e, g in funds for i in {e} | {a for c, a, _ in up if c == e}]
+    found = L.broader_grants(ids, frame(up, "id string, ancestor string, dist int"), frame(list(funds), "entity string, grant_id string"),
+                             frame(grants, "id string, active boolean, fy_last int, amount double"), frame(own, "id string, grant_id string"))
+    assert {(r.id, r.grant_id, r.via, r["rank"]) for r in found.select("id", "grant_id", "via", "rank").collect()} == want
+    held = {name: df.count() for name, df in heads}
+    most = max(sum(i == x for i, _ in own) for x in kids)
+    assert held["heads"] <= len(classes) * (8 + most) and held["taken"] < sum(i in kids for i, _ in set(own))
