@@ -201,6 +201,20 @@ def test_long_segments_are_compared_as_a_whole(spark):
         assert not set(range(w.index(gap[1]) + 100, w.index(gap[1]) + 250)) & covered
 
 
+def test_holders_unlike_the_first_are_compared_with_each_other(spark):
+    rng = random.Random(21)
+    fresh = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    rows, passages = [], []
+    for i in range(20):
+        passages.append(fresh(50))
+        # the first document shares most keys of the passage, but two edited words hold it below the similarity
+        near = passages[i][:23] + fresh(2) + passages[i][25:]
+        rows += [(3 * i + j, [*fresh(40), *(passages[i] if j else near), *fresh(40)]) for j in range(3)]
+    found = substring_dedup.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string").coalesce(1)).collect()
+    places = {(r.doc_id, r.start_word, r.end_word, r.cluster_id) for r in found}
+    assert places == {(3 * i + j, 40, 90, 3 * i + 1) for i in range(20) for j in (1, 2)}
+
+
 def test_repeated_passages_odd_rows(odd, none):
     assert {r.doc_id for r in substring_dedup.repeated_passages(odd).collect()} <= {6, 7, 8}
     assert substring_dedup.repeated_passages(none).count() == 0
