@@ -202,3 +202,34 @@ def test_blocks_are_few_and_ties_go_to_the_earlier_name():
     for row, mark, floor in zip(score, got, least, strict=True):
         best = sorted(range(len(row)), key=lambda i: (-row[i], i))[:7]
         assert set(np.flatnonzero(mark)) == {i for i in best if row[i] >= floor}
+
+
+def test_packed_blocks_hold_their_hub_items_in_few_bytes():
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(5)
+    lists = [np.sort(rng.choice(3000, 400, replace=False)).astype(np.int64) << 33 for _ in range(300)]
+    weight = rng.random(3000)
+    frame = pd.DataFrame({"entity": [f"S:{i:03}" for i in range(300)], "block": 7, "grp": "x", "items_0": lists, "ws_0": [weight[x >> 33] for x in lists],
+                          "m_cosine": 1.0, "n_cosine": 400, "items_1": [None if i % 2 else x[:9] for i, x in enumerate(lists)], "m_jaccard": 9.0, "n_jaccard": 9})
+    pieces = T._packer(["cosine", "jaccard"])(frame.sample(frac=1.0, random_state=3))
+    assert sum(map(len, pieces["piece"])) < 3 * 300 * 400
+    entities, (cosine, jaccard) = T._unpacked(pieces, ["cosine", "jaccard"])
+    assert list(entities["entity"]) == list(frame["entity"]) and list(entities["n_cosine"]) == [400] * 300
+    assert (cosine[1].reshape(300, 400) == np.stack(lists)).all() and (cosine[2] == weight[cosine[1] >> 33]).all()
+    assert len(jaccard[0]) == 150 * 9 and (jaccard[2] == 1).all()
+    frame["ws_0"] = [rng.random(400) for _ in lists]
+    _, (each, _) = T._unpacked(T._packer(["cosine", "jaccard"])(frame), ["cosine", "jaccard"])
+    assert (each[2] == np.concatenate(frame["ws_0"])).all()
+
+
+def test_sets_for_scores_equal_the_propagated_profile_without_supports(frame, rows):
+    closure = frame([("a", "a", 0), ("b", "b", 0), ("n", "n", 0), ("a", "n", 1), ("b", "n", 1)], "id string, ancestor string, dist int")
+    terms = frame([("l1", "l1", 0), ("l2", "l2", 0), ("t", "t", 0), ("l1", "t", 1), ("l2", "t", 1)], "id string, ancestor string, dist int")
+    bags = frame([("a", "l1", "e1"), ("a", "l1", "e2"), ("b", "l1", "e3"), ("b", "l2", "e4"), ("n", "t", "e5"), ("b", "lost", "e6")], "entity string, item string, edge_id string")
+    ic = frame([("l1", 1.0), ("l2", 2.0)], "term string, ic double")
+    profile = S.rollup_profile(bags, closure)
+    wanted = S.propagate_terms(profile.withColumnRenamed("item", "term"), terms, ic)
+    assert rows(S.term_sets(bags, closure, terms, ic), "entity", "term", "ic") == rows(wanted, "entity", "term", "ic")
+    assert rows(S.item_sets(bags, closure), "entity", "item") == rows(profile, "entity", "item")
