@@ -241,3 +241,20 @@ def test_queries_travel_once_a_chunk_of_blocks(spark, frame):
     sent = V._reached(asked, index, 1).collect()
     assert index.blocks > 100 and sum(r.n or 0 for r in sent) == 50 * index.blocks
     assert len(sent) <= 50 * max(V.LEAST, -(-index.blocks // V.CHUNK)) + index.blocks
+
+
+def test_chunks_hand_on_the_best_of_a_query_only(frame):
+    rng = np.random.default_rng(4)
+    docs = frame([(i, " ".join(f"w{w}" for w in rng.integers(0, 12, 9))) for i in range(400)], "doc_id long, text string")
+    index = T.build_index(docs, block=8)
+    asked = frame([("q", "w1", 1.0), ("q", "w2", 0.5), ("r", "w3", 1.0), ("r", "w3x", 1.0)], "query_id string, term string, weight double")
+    wanted = index.placed.select("block").distinct().crossJoin(asked.select("query_id").distinct()).select("query_id", "block")
+    got = T._scored(wanted, asked, index, 3).collect()
+    chunks = max(T.LEAST, -(-index.placed.select("block").distinct().count() // T.CHUNK))
+    assert 6 <= len(got) <= 2 * 3 * chunks
+    want = {}
+    for r in asked.join(index.lists, "term").collect():
+        want[r.query_id, r.doc_id] = want.get((r.query_id, r.doc_id), 0.0) + r.weight * r.impact
+    for query in "qr":
+        best = sorted(((-round(s, 9), d) for (q, d), s in want.items() if q == query))[:3]
+        assert sorted((-r.score, r.doc_id) for r in got if r.query_id == query)[:3] == best
