@@ -5,6 +5,7 @@ import pytest
 from check import TABLES, rows_of
 
 import __spark_entry__ as entry
+from lodestone.catalog import registry
 
 FOLDER = "/root/testdata/sf0.001"
 CHECKED = ["transitive_closure", "information_content", "similarity_top_pairs", "shared_terms", "gene_disease_edges", "annotation_edges", "merge_mentions", "match_conditions",
@@ -35,3 +36,10 @@ def test_every_query_is_registered_once_and_oracles_belong_to_queries():
 
 def test_entry_runs(spark):
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name, read", [("assets_for", {"entity_closure", "entity_trials"})])
+def test_a_query_builds_the_tables_it_reads_and_no_others(spark, duck, monkeypatch, name, read):
+    monkeypatch.setattr(registry, "_TABLES", {})
+    test_query_equals_sql(spark, duck, name)
+    assert set(registry.tables(spark, FOLDER)._built) == read
