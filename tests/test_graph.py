@@ -290,3 +290,10 @@ def test_xml_files_hold_a_bounded_number_of_records(spark, monkeypatch):
     (made,) = set(Path(shared_dir(spark)).glob("disorders-*")) - before
     sizes = [p.read_text().count("<Disorder>") for p in made.glob("part-*")]
     assert max(sizes) <= 500 and sum(sizes) == n == spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+
+
+def test_best_variants_count_repeats_once(frame):
+    hits = frame([("a", v, s, n) for v, s, n in [("v1", 4, 1.0), ("v1", 4, 1.0), ("v2", 4, 1.0), ("v3", 3, 9.0), ("v4", 3, 9.0), ("v4", 3, 9.0)]] + [("b", "v9", 1, 1.0)],
+                 "id string, variant string, stars int, nsub double")
+    got = sorted((r.id, r["rank"], r.variant) for r in L.variants_for(hits, 3).collect())
+    assert got == [("a", 1, "v1"), ("a", 2, "v2"), ("a", 3, "v3"), ("b", 1, "v9")]
