@@ -297,3 +297,13 @@ def test_best_variants_count_repeats_once(frame):
                  "id string, variant string, stars int, nsub double")
     got = sorted((r.id, r["rank"], r.variant) for r in L.variants_for(hits, 3).collect())
     assert got == [("a", 1, "v1"), ("a", 2, "v2"), ("a", 3, "v3"), ("b", 1, "v9")]
+
+
+def test_a_large_cluster_is_dealt_over_tasks(frame):
+    rows = [(f"i{i}", "big", "B") for i in range(60)] + [("j", "small", "S"), ("k", "small", "S"), ("l", "", ""), ("m", None, None), ("n", "lone", "L")]
+    clusters = frame(rows, "id string, cluster_id string, cluster_label string")
+    wanted = frame([(f"i{i}",) for i in range(30)] + [("j",), ("l",), ("m",), ("n",)], "id string")
+    got = L.cluster_members(wanted, clusters, pairs=100)
+    sizes = [len(p) for p in got.rdd.glom().collect()]
+    assert sorted((r.id, r.other) for r in got.collect()) == sorted([(f"i{i}", f"i{j}") for i in range(30) for j in range(60) if i != j] + [("j", "k")])
+    assert max(sizes) < 900 and L.cluster_members(wanted.limit(0), clusters).isEmpty()
