@@ -233,3 +233,19 @@ def test_sets_for_scores_equal_the_propagated_profile_without_supports(frame, ro
     wanted = S.propagate_terms(profile.withColumnRenamed("item", "term"), terms, ic)
     assert rows(S.term_sets(bags, closure, terms, ic), "entity", "term", "ic") == rows(wanted, "entity", "term", "ic")
     assert rows(S.item_sets(bags, closure), "entity", "item") == rows(profile, "entity", "item")
+
+
+def test_own_items_and_those_of_subtypes_are_read_in_one_pass(spark, frame):
+    bags = frame([(f"s{i % 40}", f"i{i}", f"e{i}") for i in range(400)] + [("n", "own", "e")], "entity string, item string, edge_id string")
+    closure = frame([(f"s{i}", a, d) for i in range(40) for a, d in ((f"s{i}", 0), ("n", 1), ("root", 2))] + [("n", "n", 0), ("root", "root", 0)], "id string, ancestor string, dist int")
+    got = S.rollup_profile(bags, closure, "own_or_subtypes")
+    found = {(r.entity, r.item) for r in got.collect()}
+    assert found == {(f"s{i % 40}", f"i{i}") for i in range(400)} | {("root", f"i{i}") for i in range(400)} | {("n", "own")}
+
+    def nodes(plan):
+        yield plan
+        for i in range(plan.children().size()):
+            yield from nodes(plan.children().apply(i))
+
+    inner = [n for n in nodes(got._jdf.queryExecution().optimizedPlan()) if n.nodeName() == "Join" and str(n.joinType()) == "Inner"]
+    assert len(inner) == 1
