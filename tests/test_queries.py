@@ -38,7 +38,8 @@ def test_entry_runs(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name, read", [("assets_for", {"entity_closure", "entity_trials"}), ("variants_for", {"entity_closure"})])
+@pytest.mark.parametrize("name, read", [("assets_for", {"entity_closure", "entity_trials"}), ("variants_for", {"entity_closure"}),
+                                        ("rank_collaborators", {"entity_closure", "entity_papers", "entity_people"})])
 def test_a_query_builds_the_tables_it_reads_and_no_others(spark, duck, monkeypatch, name, read):
     monkeypatch.setattr(registry, "_TABLES", {})
     test_query_equals_sql(spark, duck, name)
