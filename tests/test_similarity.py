@@ -56,6 +56,18 @@ def test_prefix_filter_loses_no_pair(frame, measure, floor):
         assert got == brute(bags, measure, floor)
 
 
+@pytest.mark.parametrize("hub", [1, 8, 1000])
+def test_cosine_of_all_pairs_has_no_least_score(frame, monkeypatch, hub):
+    monkeypatch.setattr(T.similar, "__defaults__", tuple(hub if d == T.HUB else 7 if d == T.BLOCK else d for d in T.similar.__defaults__))
+    bags = random_bags(7)
+    df = frame([(e, i, weight(i)) for e, bag in bags.items() for i in bag] + [("tiny", "hub", 0.4), ("tiny", "own", 1e7), ("zero", "own", 0.0)], "entity string, term string, ic double")
+    got = {(r.a, r.b): r.score for r in S.weighted_cosine_pairs(df).collect()}
+    want = brute(bags, "cosine", 0.0)
+    assert {p: round(s, 9) for p, s in got.items() if "tiny" not in p} == want and min(want.values()) < 0.1
+    near = {p for p in got if "tiny" in p}
+    assert near == {tuple(sorted((e, "tiny"))) for e, bag in bags.items() if "hub" in bag} and all(0 < got[p] < 1e-6 for p in near)
+
+
 def brute_top(sets, groups, exclude, k, cross_k, floor, least):
     """Best pairs of every entity from the full table of weighted sums."""
     names, score = sorted({e for bags in sets.values() for e in bags}), {}
