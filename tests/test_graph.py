@@ -307,3 +307,13 @@ def test_a_large_cluster_is_dealt_over_tasks(frame):
     sizes = [len(p) for p in got.rdd.glom().collect()]
     assert sorted((r.id, r.other) for r in got.collect()) == sorted([(f"i{i}", f"i{j}") for i in range(30) for j in range(60) if i != j] + [("j", "k")])
     assert max(sizes) < 900 and L.cluster_members(wanted.limit(0), clusters).isEmpty()
+
+
+def test_studies_have_their_place_in_their_section(frame):
+    trials = frame([("x", f"t{i}") for i in range(9)] + [("y", "t3")], "id string, trial string")
+    facts = [("t0", "trial", "COMPLETED", "2001-02-10", 1), ("t1", "trial", "RECRUITING", "2001-02-19", 1), ("t2", "trial", "RECRUITING", "2001-02-10", 1),
+             ("t3", "trial", "RECRUITING", "2001-02-10", 11), ("t4", "registry", "TERMINATED", None, None), ("t5", None, "RECRUITING", "2000-02-10", 1),
+             ("t6", "observational", None, "2001-02-10", 1), ("t7", "natural_history", "", "", 1), ("t8", "registry", "TERMINATED", "2001-02-10", 1)]
+    got = {(r.id, r.trial): (r.section, r.place) for r in L.studies_for(trials, frame(facts, "id string, kind string, status string, start string, n_conditions int")).collect()}
+    assert got == {("x", "t5"): ("trials", 1), ("x", "t2"): ("trials", 2), ("x", "t1"): ("trials", 3), ("x", "t0"): ("trials", 4), ("x", "t3"): ("trials", 5), ("y", "t3"): ("trials", 1),
+                   ("x", "t4"): ("registries", 1), ("x", "t8"): ("registries", 2), ("x", "t6"): ("observational", 1), ("x", "t7"): ("natural_history", 1)}
