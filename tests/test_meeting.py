@@ -103,3 +103,10 @@ def test_sources_join_only_edges_that_gain_by_them(frame):
     out = E.independent_sources(edges, similar, ends, ends, frame([("s",)], "trial string"))
     assert dict(read(out, "edge_id", "n_sources")) == {"e1": 2, "e2": 2, "e3": 2, "e4": 2, "e5": 1, "e6": 1, "e7": 2}
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 3
+
+
+def test_a_study_on_both_sides_counts_as_often_as_its_facts(frame):
+    pairs, trials = frame([("x", "y")], "a string, b string"), frame([("x", "t"), ("y", "t"), ("x", "r"), ("x", "u"), ("y", "w")], "id string, trial string")
+    facts = frame([("t", "trial", "COMPLETED", 1)] * 2 + [("r", "registry", "RECRUITING", 1), ("u", "trial", "RECRUITING", 1), ("w", "trial", "RECRUITING", 1)], "id string, kind string, status string, n_conditions int")
+    got = P.shared_assets(pairs, trials, facts, frame([("u", "gene therapy"), ("w", "gene therapy")], "trial string, modality string"))
+    assert read(got, "part", "pos", "trial", "side", "paired_with") == [(1, 1, "t", "both", None), (1, 2, "t", "both", None), (2, 1, "r", "a", None), (3, 1, "u", "a", "w")]
